@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, chat_format, exact_dedup, simhash
+from . import bpe_automaton, chat_format, exact_dedup, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc": warc.op3_warc,
         "op5_bpe_automaton": bpe_automaton.op5_bpe_automaton,
         "op6_simhash": simhash.op6_simhash,
         "op7_chat_format": chat_format.op7_chat_format,
+        "op9_token_files": token_files.op9_token_files,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat_format.OP7_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op7_chat_format": chat_format.OP7_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}

@@ -145,6 +145,14 @@ def char_readings(spark: SparkSession, characters: Iterable[str], known: dict[st
     return spark.createDataFrame(rows, "ch string, raw string")
 
 
+def syllable_cost(costs: DataFrame):
+    """A column function (x, y) of two syllables: their weighted confusion cost, 0 if they read alike. costs: confusion_costs, a few hundred pairs, as a map literal."""
+    rows = costs.collect()
+    table = F.create_map(*[F.lit(v) for r in rows for v in (f"{r.kind}:{r.a}:{r.b}", r.cost)]) if rows else F.create_map().cast("map<string,double>")
+    part = lambda kind, a, b: F.when(a == b, 0.0).otherwise(F.coalesce(F.try_element_at(table, F.concat(F.lit(f"{kind}:"), a, F.lit(":"), b)), F.lit(1.0)))
+    return lambda x, y: F.when(x["raw"] == y["raw"], 0.0).otherwise(W_INITIAL * part("initial", x["ini"], y["ini"]) + W_FINAL * part("final", x["fin"], y["fin"]))
+
+
 def weighted_distance(costs: DataFrame):
     """A column function (a, b) of arrays of syllables (ini, fin, raw): edit distance with indels at 1 and substitutions at the weighted confusion cost. costs: confusion_costs, a few hundred pairs."""
     table = {(r.kind, r.a, r.b): r.cost for r in costs.collect()}

@@ -116,6 +116,11 @@ Rule = tuple[str, str, tuple[str, ...], str]
 LEXICON: list[Rule] = [(a, "" if b == "-" else b, tuple(g.split(",")), c) for a, b, g, c in (line.split(" ") for line in _LEXICON.split("\n") if line)]
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value written and evaluated once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def rules_for(groups: Iterable[str] | None = None, rules: Iterable[Rule] = LEXICON) -> list[Rule]:
     """Rules of any of the groups or of all dialects; None: every rule."""
     wanted = None if groups is None else {*groups, ALL}
@@ -182,19 +187,29 @@ def numeral(text: Column) -> Column:
     Places must fall; a digit right behind a place counts as the next place (八百八: 880) unless a zero came before.
     """
     first = F.struct(F.lit(True).alias("ok"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("held"), F.lit(False).alias("gap"), F.lit(0).cast("long").alias("last"), F.lit(False).alias("wan"))
-    end = F.aggregate(_chars(text), first, _place_step)
-    filled = end.total + F.when(end.gap | (end.last <= 10), end.held).otherwise((end.held * end.last / 10).cast("long"))
-    placed = F.when(end.ok, F.when(end.held.isNull(), end.total).otherwise(filled))
-    flat = F.translate(text, "".join(DIGITS), "".join(map(str, DIGITS.values()))).cast("long")
-    return F.when(text.rlike("^[0-9]+$"), text.cast("long")).when(text.rlike(f"^{NUMERAL}+$"), F.when(text.rlike("[十百千万]"), placed).otherwise(flat))
+    def placed(end: Column) -> Column:
+        filled = end.total + F.when(end.gap | (end.last <= 10), end.held).otherwise((end.held * end.last / 10).cast("long"))
+        return F.when(end.ok, F.when(end.held.isNull(), end.total).otherwise(filled))
+
+    def value(t: Column) -> Column:
+        flat = F.translate(t, "".join(DIGITS), "".join(map(str, DIGITS.values()))).try_cast("long")
+        spoken = F.when(t.rlike("[十百千万]"), let(F.aggregate(_chars(t), first, _place_step), placed)).otherwise(flat)
+        return F.when(t.rlike("^[0-9]+$"), t.try_cast("long")).when(t.rlike(f"^{NUMERAL}+$"), spoken)
+
+    return let(text, value)
 
 
 def _numerals(text: Column, convert) -> Column:
     """Runs of numeral characters and what is between them; convert(run, before, after) gives what stands for a run."""
     parts = F.regexp_extract_all(text, F.lit(f"{NUMERAL}+|(?:(?!{NUMERAL})[\\s\\S])+"), F.lit(0))
-    near = lambda i: F.coalesce(F.try_element_at(parts, i), F.lit(""))
-    # element_at counts from 1, and 0 is an error
-    return F.array_join(F.transform(parts, lambda p, i: F.when(p.rlike(f"^{NUMERAL}"), convert(p, F.when(i > 0, near(F.greatest(i, F.lit(1)))).otherwise(F.lit("")), near(i + 2))).otherwise(p)), "")
+
+    def joined(parts: Column) -> Column:
+        # try_element_at counts from 1, and 0 is an error
+        near = lambda i: F.coalesce(F.try_element_at(parts, i), F.lit(""))
+        before = lambda i: F.when(i > 0, near(F.greatest(i, F.lit(1)))).otherwise(F.lit(""))
+        return F.array_join(F.transform(parts, lambda p, i: F.when(p.rlike(f"^{NUMERAL}"), convert(p, before(i), near(i + 2))).otherwise(p)), "")
+
+    return let(parts, joined)
 
 
 def normalize_numbers(text: Column) -> Column:
@@ -207,16 +222,23 @@ def normalize_numbers(text: Column) -> Column:
 
 def extract_tail(text: Column) -> Column:
     """Struct of house_no, building, unit, room, floor and geo_text: each field takes the first match that no earlier field has claimed; geo_text is what is left."""
-    found: dict[str, Column] = {}
-    masked = text
-    for name, pattern in TAIL:
-        hit = F.regexp_extract(masked, pattern, 0)
-        if name in found:
-            hit = F.when(found[name] == "", hit).otherwise(F.lit(""))
-        at = F.regexp_instr(masked, F.lit(pattern))
-        masked = F.when(hit == "", masked).otherwise(F.concat(F.substring(masked, F.lit(1), at - 1), F.repeat(F.lit(GONE), F.length(hit)), F.substring(masked, at + F.length(hit), F.length(masked))))
-        found[name] = F.when(found[name] == "", hit).otherwise(found[name]) if name in found else hit
-    return F.struct(*[c.alias(n) for n, c in found.items()], F.replace(masked, F.lit(GONE), F.lit("")).alias("geo_text"))
+    names = list(dict.fromkeys(n for n, _ in TAIL))
+
+    def claim(state: Column, step: Column) -> Column:
+        hit = F.when(F.element_at(state["found"], step["name"]) == "", F.call_function("regexp_extract", state["rest"], step["pattern"], F.lit(0))).otherwise(F.lit(""))
+
+        def claimed(h: Column) -> Column:
+            at = F.regexp_instr(state["rest"], step["pattern"])
+            cut = F.concat(F.substring(state["rest"], F.lit(1), at - 1), F.repeat(F.lit(GONE), F.length(h)), F.substring(state["rest"], at + F.length(h), F.length(state["rest"])))
+            found = F.transform_values(state["found"], lambda k, v: F.when(k == step["name"], h).otherwise(v))
+            return F.when(h == "", state).otherwise(F.struct(cut.alias("rest"), found.alias("found")))
+
+        return let(hit, claimed)
+
+    steps = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in TAIL])
+    start = F.struct(text.alias("rest"), F.create_map(*[F.lit(x) for n in names for x in (n, "")]).alias("found"))
+    end = lambda e: F.struct(*[F.element_at(e["found"], n).alias(n) for n in names], F.replace(e["rest"], F.lit(GONE), F.lit("")).alias("geo_text"))
+    return let(F.aggregate(steps, start, claim), end)
 
 
 def simplified(text: Column, pairs: dict[str, str]) -> Column:

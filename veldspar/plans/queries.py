@@ -12,7 +12,9 @@ from ..operators import evaluation as ev
 from ..operators import gazetteer as gz
 from ..operators import quality as qu
 from ..operators import ranking as rk
+from ..operators import search
 from ..operators import similarity as sm
+from . import resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -571,3 +573,39 @@ def signal_levels(spark, sf):
 def cache_misses(spark, sf):
     p = table(spark, sf, "pages").select("page_id", qu.cache_key(F.col("html"), F.lit("en"), F.col("url")).alias("key"))
     return qu.cached(p, p.where("page_id % 2 = 0").select("key"))[1].select("page_id", "key")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS id, l_linenumber::BIGINT * 10000000 + l_partkey AS chain, 0.55 + l_discount * 3 + l_linenumber * 0.00137 AS sim, l_tax * 5 AS cov, l_quantity / 50 AS prior, l_linenumber / 7 AS depth, l_tax * 2 AS conflict, l_returnflag AS admin, l_linestatus = 'O' AS deep, l_partkey % 3 > 0 AS ok FROM lineitem),
+c(candidate, ws, mm) AS (VALUES (0, 0.5, 0.0613), (1, 0.8, 0.0613), (2, 0.5, 0.2017)),
+t AS (SELECT *, ws * sim + 0.2 * cov + 0.15 * prior + 0.15 * depth - 0.25 * conflict AS total FROM f, c),
+r AS (SELECT *, row_number() OVER w AS rank, lead(total) OVER w AS nxt, lead(admin) OVER w AS nadmin FROM t WINDOW w AS (PARTITION BY candidate, id ORDER BY total DESC, chain))
+SELECT candidate, id, ok, round(total, 6) AS total, CASE WHEN sim < 0.62 THEN 'reject' WHEN NOT deep THEN 'partial' WHEN nxt IS NOT NULL AND total - nxt < mm AND nadmin <> admin THEN 'ambiguous' ELSE 'confident' END AS decision FROM r WHERE rank = 1""")
+def features_replay(spark, sf):
+    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")).alias("chain"), (0.55 + F.col("l_discount") * 3 + F.col("l_linenumber") * 0.00137).alias("sim"), (F.col("l_tax") * 5).alias("cov"), (F.col("l_quantity") / 50).alias("prior"), (F.col("l_linenumber") / 7).alias("depth"), (F.col("l_tax") * 2).alias("conflict"), F.col("l_returnflag").alias("admin"), (F.col("l_linestatus") == "O").alias("deep"), (F.col("l_partkey") % 3 > 0).alias("ok"), F.lit(None).cast("double").alias("single_dist"))
+    points = search.as_candidates(spark, [{"MARGIN_MIN": 0.0613}, {"W_SIM": 0.8, "MARGIN_MIN": 0.0613}, {"MARGIN_MIN": 0.2017}])
+    return search.replay(f, points).select("candidate", "id", "ok", F.round("total", 6).alias("total"), "decision")
+
+
+@query("""SELECT * FROM (VALUES (1, '兰山路', 'initial-n-l'), (1, '蓝山路', 'initial-n-l'), (1, '南三路', 'initial-sh-s'), (2, '山', 'initial-s-sh')) AS t(id, variant, rule)""")
+def perturbed_names(spark, sf):
+    letters = spark.createDataFrame([("南", "nan"), ("兰", "lan"), ("蓝", "lan"), ("山", "shan"), ("三", "san"), ("路", "lu")], "ch string, raw string")
+    readings = letters.select("ch", phonetics.split_syllable(F.col("raw")).alias("s")).select("ch", "s.ini", "s.fin")
+    costs = phonetics.confusion_costs(phonetics.confusion_rules(spark).where("space = 'mandarin'"))
+    return search.perturbations(spark.createDataFrame([(1, "南山路"), (2, "三")], "id int, name string"), readings, costs, 10).select("id", "variant", "rule")
+
+
+FIXTURE = [
+    ("sichuan", "四川省", "province", None, ["四川"], 0.7), ("cd", "成都市", "city", "sichuan", ["成都"], 0.9), ("wh", "武侯区", "district", "cd", ["武侯"], 0.7), ("jj", "锦江区", "district", "cd", ["锦江"], 0.7),
+    ("eh", "二环路南四段", "road", "wh", [], 0.5), ("cx", "春熙路", "road", "jj", [], 0.8), ("cqp", "重庆市", "province", None, [], 0.9), ("cq", "重庆市", "city", "cqp", ["重庆"], 0.9), ("yz", "渝中区", "district", "cq", ["渝中"], 0.8), ("mq", "民权路", "road", "yz", [], 0.6),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, 'confident', 'sichuan/cd/wh/eh', '30号'), (2, 'confident', 'cqp/cq/yz/mq', '8号'), (3, 'confident', 'sichuan/cd/jj/cx', ''), (4, 'reject', NULL, ''), (5, 'empty', NULL, '')) AS t(doc_id, decision, chain, house_no)""")
+def texts_resolved(spark, sf):
+    places = spark.createDataFrame([(*p[:4], p[4], p[5], k) for k, p in enumerate(FIXTURE)], "adcode string, name string, level string, parent string, aliases array<string>, prior double, ord int")
+    said = [(1, "我屋头在成都市武侯区二环路南四段三十号"), (2, "重庆渝中区民权路八号"), (3, "成都锦江区村熙路"), (4, "今天天气不错"), (5, "abc")]
+    letters = {c for p in FIXTURE for c in p[1] + "".join(p[4])} | {c for _, t in said for c in t if "一" <= c <= "鿿"}
+    readings = phonetics.char_readings(spark, letters, {"都": "du", "重": "chong"})
+    costs = phonetics.confusion_costs(phonetics.confusion_rules(spark).where("space = 'mandarin'"))
+    out = resolve.resolve(spark.createDataFrame(said, "doc_id int, text string"), places, readings, costs)
+    return out.select("doc_id", "decision", F.array_join("codes", "/").alias("chain"), F.col("tail.house_no").alias("house_no"))

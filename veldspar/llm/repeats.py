@@ -238,19 +238,20 @@ def _matched(units: DataFrame, matcher: Callable, shape: Shape) -> DataFrame:
 
 
 def _resolved(units: DataFrame, matcher: Callable, shape: Shape, level: int = 0) -> DataFrame:
-    """(dg, at, runs) of the units, hot groups by the units of the next level; at is added to the runs' windows."""
+    """(dg, parts) of the units with repeated windows, a row for each: runs of windows, counted from at; hot groups by the units of the next level."""
     units = written(units, "units")
-    plain = F.lit(0).alias("at")
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("runs"))).alias("parts")
     if level == len(shape.blocks):
-        return _matched(units, matcher, shape).select("dg", plain, "runs")
+        return _matched(units, matcher, shape).select("dg", whole)
     hot = written(units.groupBy("key").count().where(F.col("count") > shape.most).select("key"), "hot")
     if hot.isEmpty():
-        return _matched(units, matcher, shape).select("dg", plain, "runs")
-    few = _matched(units.join(hot, "key", "left_anti"), matcher, shape).select("dg", plain, "runs")
+        return _matched(units, matcher, shape).select("dg", whole)
+    few = _matched(units.join(hot, "key", "left_anti"), matcher, shape).select("dg", whole)
     many = written(_children(units.join(hot, "key", "left_semi"), shape, shape.blocks[level]), "children")
     below = _resolved(_united(many, F.sum("n")), matcher, shape, level + 1)
     up = many.select("parent", F.col("at").alias("from"), "dg").join(below, "dg")
-    return few.union(up.select(F.col("parent").alias("dg"), (F.col("from") + F.col("at")).alias("at"), "runs"))
+    moved = up.select("parent", F.transform("parts", lambda x: F.struct((x["at"] + F.col("from")).alias("at"), x["runs"].alias("runs"))).alias("parts"))
+    return few.union(moved.groupBy(F.col("parent").alias("dg")).agg(F.flatten(F.collect_list("parts")).alias("parts")))
 
 
 def _united(rows: DataFrame, count) -> DataFrame:
@@ -272,7 +273,7 @@ def repeated(docs: DataFrame, shape: Shape, matcher: Callable, apply: Callable,
     spots = written(_occurrences(packed.select("d", "t", "z").join(found.hint("merge"), ["d", "t"]), shape), "occurrences")
     runs = _resolved(_united(spots, F.count("*")), matcher, shape)
     spans = spots.select("d", "t", "a", "dg").join(written(runs, "runs").hint("merge"), "dg")
-    spans = spans.groupBy("d", "t").agg(F.collect_list(F.struct((F.col("a") + F.col("at")).alias("a"), "runs")).alias("spans"))
+    spans = spans.groupBy("d", "t").agg(F.collect_list(F.struct("a", "parts")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -285,9 +286,10 @@ def repeated(docs: DataFrame, shape: Shape, matcher: Callable, apply: Callable,
                     continue
                 steps = np.zeros(len(shape.split(text)[0]) + 1, np.int32)
                 for span in spans:
-                    edge = np.frombuffer(span["runs"], np.int32).astype(np.int64) + span["a"]
-                    np.add.at(steps, edge[::2], 1)
-                    np.add.at(steps, edge[1::2] + shape.length - 1, -1)
+                    for part in span["parts"]:
+                        edge = np.frombuffer(part["runs"], np.int32).astype(np.int64) + (span["a"] + part["at"])
+                        np.add.at(steps, edge[::2], 1)
+                        np.add.at(steps, edge[1::2] + shape.length - 1, -1)
                 masks.append(np.cumsum(steps[:-1]) > 0)
             yield apply(batch["doc_id"].to_pylist(), texts, masks)
 

@@ -85,3 +85,19 @@ def test_token_files(spark):
     folder = work_path(spark, "tokens")
     assert token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, folder).count() == 0
     assert token_files.read_tokens(spark, folder).count() == 0
+
+
+def test_words_agree_with_the_library():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    words = token_files.Words(open(path, encoding="utf-8").read())
+    assert words.plain
+    r = random.Random(4)
+    letters = "aeiTHs't'llr'vE0129.,!$%-_<|>~\x7f\x01é"
+    for _ in range(5000):
+        word = "".join(r.choice(letters) for _ in range(r.randint(1, 12)))
+        want = library.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(words[word.encode()], "<u2").tolist() == want, repr(word)

@@ -12,8 +12,11 @@ left, right (width) and u32 expansion length of each rule; the sequence (width);
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,17 +106,34 @@ def lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """Ids of a stretch of the sequence."""
+    flat, sizes = expansions(rules, base)
+    return _expand(seq, flat, sizes, base)
+
+
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that each rule stands for, end to end, and how many each has."""
+    each: list[list[int]] = []
+    for x, y in rules.tolist():
+        each.append((each[x - base] if x >= base else [x]) + (each[y - base] if y >= base else [y]))
+    sizes = np.array([len(e) for e in each], np.int64)
+    return np.array([i for e in each for i in e], np.int32), sizes
+
+
+def _expand(seq: np.ndarray, flat: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
     seq = seq.astype(np.int64)
-    while (deep := seq >= base).any():
-        size = 1 + deep
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[at] = seq
-        own = rules[seq[deep] - base]
-        out[at[deep]] = own[:, 0]
-        out[at[deep] + 1] = own[:, 1]
-        seq = out
-    return seq
+    rule = np.flatnonzero(seq >= base)
+    if not len(rule):
+        return seq
+    own = seq[rule] - base
+    grown = np.ones(len(seq), np.int64)
+    grown[rule] = sizes[own]
+    ends = np.cumsum(grown)
+    out = np.repeat(seq, grown)
+    long = sizes[own]
+    first = np.cumsum(long) - long
+    within = np.arange(int(long.sum())) - np.repeat(first, long)
+    out[np.repeat(ends[rule] - long, long) + within] = flat[np.repeat((np.cumsum(sizes) - sizes)[own], long) + within]
+    return out
 
 
 def pack(doc_ids: list, parts: list[bytes], width: int, base: int) -> tuple[bytes, int]:
@@ -151,11 +171,12 @@ class TokenFile:
         self.counts, self.starts = take("<u4", n), take("<u8", n)
         self.rules = np.stack([take(kind, rules), take(kind, rules)], axis=1).astype(np.int64)
         self.sizes, self.seq = take("<u4", rules).astype(np.int64), take(kind, size)
+        self.flat, _ = expansions(self.rules, self.base)
 
     def ids(self, k: int) -> np.ndarray:
         """All ids of the k-th document."""
         end = int(self.starts[k + 1]) if k + 1 < len(self.starts) else len(self.seq)
-        return expand(self.seq[int(self.starts[k]) : end], self.rules, self.base)
+        return _expand(self.seq[int(self.starts[k]) : end], self.flat, self.sizes, self.base)
 
     def id_at(self, k: int, j: int) -> int:
         """The j-th id of the k-th document, by the rules' lengths."""
@@ -170,14 +191,23 @@ class TokenFile:
 
     def all_ids(self) -> Iterator[np.ndarray]:
         """The ids of each document, expanded together."""
-        flat = expand(self.seq, self.rules, self.base)
+        flat = _expand(self.seq, self.flat, self.sizes, self.base)
         ends = np.cumsum(self.counts.astype(np.int64))
         for start, end in zip((ends - self.counts).tolist(), ends.tolist()):
             yield flat[start:end]
 
 
+#: The pre-split pattern of this vocabulary for lower-case ASCII.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+VISIBLE = re.compile(rb"[!-~]+")
+
+
 class Words(dict):
-    """Packed ids of stretches without white space, by the library; of two generations the older is forgotten."""
+    """Packed ids of stretches without white space; of two generations the older is forgotten.
+
+    The library encodes each stretch once. Visible ASCII, which its normalizer only puts in lower case, is cut to
+    pieces here, so that its model sees a word once, whatever stands around it.
+    """
 
     def __init__(self, definition: str):
         super().__init__()
@@ -188,13 +218,31 @@ class Words(dict):
         self.library.no_truncation()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = 2 if self.size < 1 << 16 else 4
-        self.kind = "<u2" if self.width == 2 else "<u4"
+        told = json.loads(definition)
+        split = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
+        self.plain = split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.model = self.library.model
         self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= WORDS_KEPT:
+                self.pieces.clear()
+            got = self.pieces[piece] = self.pack([t.id for t in self.model.tokenize(piece)])
+        return got
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.old.get(word)
         if got is None:
-            got = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+            if self.plain and VISIBLE.fullmatch(word) and b"<|" not in word:
+                got = b"".join(map(self._piece, PIECES.findall(word.decode().lower())))
+            else:
+                got = self.pack(self.library.encode(word.decode(), add_special_tokens=False).ids)
         if len(self) >= WORDS_KEPT:
             self.old = dict(self)
             self.clear()
@@ -226,7 +274,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(told.value)
-        end = np.array([end_id], words.kind).tobytes()
+        end = words.pack([end_id])
         part, done = TaskContext.get().partitionId(), []
         doc_ids: list = []
         parts: list[bytes] = []
@@ -245,7 +293,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_
 
         for batch in pieces(batches, "text"):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                found = [words[w] for w in text.as_buffer().to_pybytes().split()]
+                found = list(map(words.__getitem__, text.as_buffer().to_pybytes().split()))
                 found.append(end)
                 parts.append(b"".join(found))
                 doc_ids.append(doc_id)
@@ -293,7 +341,8 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
                     names.append("input_ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return files.repartition("file").mapInArrow(run, schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number keeps the few small rows of names in as many tasks
+    return files.repartition(tasks, "file").mapInArrow(run, schema)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

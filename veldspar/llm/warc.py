@@ -188,7 +188,8 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
                 if rows:
                     yield out(rows)
 
-    return read_manifest(spark, folder).select("file").repartition("file").mapInArrow(run, schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number keeps the few small rows of names in as many tasks
+    return read_manifest(spark, folder).select("file").repartition(tasks, "file").mapInArrow(run, schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import bpe_automaton, cotraining, decontaminate, exact_dedup, simhash
+from veldspar.llm import bpe_automaton, cotraining, decontaminate, exact_dedup, near_dedup
+from veldspar.llm.common import written
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in gone."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a key of its rows, _row, from a written table, so that the keys are the same each time they are read."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of _rows() whose _row isn't in gone, without it."""
+    return rows.join(gone.select("_row"), "_row", "left_anti").drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, that with the smallest doc_id."""
-    return _without(docs, exact_dedup.exact_groups(docs).where("not kept"))
+    gone = exact_dedup.exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that SimHash links, that with the smallest doc_id."""
-    return _without(docs, simhash.simhash_groups(docs).where("not doc_id <=> component_id"))
+    """Of each group of documents that pairs with a five-word Jaccard similarity of 0.8 or more link, the row with the smallest doc_id."""
+    rows = _rows(docs)
+    part = written(near_dedup.near_rows(rows.select(F.col("_row").alias("row"), "text")), "parts")
+    found = rows.select("_row", "doc_id").join(part, F.col("_row") == F.col("node"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "_row"))["_row"].alias("node"))
+    return _without(rows, part.join(first, "node", "left_anti").select(F.col("node").alias("_row")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +63,11 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: SQL can express neither the classifier, nor the linking of fingerprints, nor tiling, nor BPE.
+#: SQL can express neither the classifier, nor the linking of near duplicates, nor tiling, nor BPE.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veldspar.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

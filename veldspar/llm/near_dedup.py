@@ -1,0 +1,111 @@
+"""Near-duplicates by word shingles: pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates share one of BANDS buckets of ROWS minima of hashes each, which a pair at 0.8 misses about three times in
+a million; each candidate pair is then verified on the whole sets. A bucket of many rows is not paired out: its rows
+are compared with one of them first, and only rows that this has left in other components than most of the bucket
+meet the bucket's other rows. So every candidate pair is verified, refuted or within one component.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, pieces, text_of, written
+from .simhash import shingle_hashes
+
+SHINGLE = 5
+SHARE = (4, 5)  # the least similarity as a fraction, so that it is compared in whole numbers
+BANDS, ROWS = 24, 4
+_R = np.random.default_rng(42)
+_ADD = _R.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+_TIMES = _R.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The set of a text's shingles, sorted; texts without words have one shingle of no words."""
+    return np.unique(shingle_hashes(text, SHINGLE)) if text.strip(b" \t\n\v\f\r") else np.zeros(1, np.uint64)
+
+
+def buckets(own: np.ndarray) -> np.ndarray:
+    """The buckets of a set of shingles, one of each band."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, len(own), 1 << 12):
+        x = (own[None, k : k + (1 << 12)] ^ _ADD) * _TIMES
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() for t in batch["text"]]
+
+
+def _banded(rows: DataFrame) -> DataFrame:
+    """(row, n, bucket): the size of each row's set and each of its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = [shingles(t) for t in _bytes(batch)]
+            row = np.repeat(np.asarray(batch["row"], dtype=np.int64), BANDS)
+            n = np.repeat(np.array([len(x) for x in sets], np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n), pa.array(np.concatenate([buckets(x) for x in sets]))], names=["row", "n", "bucket"])
+
+    return rows.mapInArrow(run, "row long, n long, bucket long")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(row, own): each row's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array([shingles(t).view(np.int64) for t in _bytes(batch)], pa.list_(pa.int64()))], names=["row", "own"])
+
+    return rows.mapInArrow(run, "row long, own array<long>")
+
+
+def _fits(a: str, b: str):
+    """Sets of sizes a and b can be similar enough."""
+    return F.least(a, b) * SHARE[1] >= F.greatest(a, b) * SHARE[0]
+
+
+def near_rows(rows: DataFrame) -> DataFrame:
+    """Components of rows (row, text): (node, component) of each row that verified pairs link to another.
+
+    row is a key of rows without nulls, component the least of those linked. Null text is empty.
+    """
+    rows = rows.select("row", text_of().alias("text"))
+    banded = written(_banded(rows), "banded")
+    first = F.min(F.struct(F.xxhash64("row", "bucket").alias("h"), "row", "n")).alias("first")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), first).where("size > 1").select("bucket", F.col("first.row").alias("other"), F.col("first.n").alias("m"))
+    members = written(banded.join(shared, "bucket"), "members")
+    sets = written(_sets(rows.join(members.select("row").distinct(), "row", "left_semi")), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        own = sets.select(F.col("row").alias("a"), F.col("own").alias("x"))
+        other = sets.select(F.col("row").alias("b"), F.col("own").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.join(own, "a").join(other, "b").where(both * SHARE[1] >= (F.size("x") + F.size("y") - both) * SHARE[0]).select("a", "b")
+
+    def pair(df: DataFrame) -> DataFrame:
+        return df.where(_fits("n", "m")).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+
+    met = written(pair(members.where("row <> other")), "met")
+    links = written(verified(met), "near")
+    part = written(components(links), "parts")
+    placed = written(members.select("bucket", "row", "n").join(part, F.col("row") == F.col("node"), "left").select("bucket", "row", "n", F.coalesce("component", "row").alias("part")), "placed")
+    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "part"))["part"].alias("most")).where("parts > 1").select("bucket", "most")
+    mixed = placed.join(split, "bucket")
+    left = mixed.where("part <> most")
+    right = mixed.select("bucket", F.col("row").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"))
+    across = left.join(right, "bucket").where("part <> other_part and (other_part = most or row < other)")
+    more = written(verified(pair(across).join(met, ["a", "b"], "left_anti")), "near")
+    return part if more.isEmpty() else components(links.union(more))

@@ -27,11 +27,11 @@ QUARTERS = 4
 TILE = 4096  # fingerprints to a tile; a fuller cell makes several tiles
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """Majority bits of the XXH64 of each word shingle, repeats included; no words: 0."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; a shorter text is one shingle, one without words none."""
     words = WORD.findall(text.lower())  # bytes.lower() touches A-Z alone
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     flat, ends, at = b" ".join(words), [], 0
     for w in words:
         at += len(w)
@@ -40,7 +40,14 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     starts = [0, *[e + 1 for e in ends[:-1]]]
     digest = xxhash.xxh64_intdigest
     last = ends[shingle - 1 :] or ends[-1:]
-    hashes = np.array([digest(flat[s:e], SEED) for s, e in zip(starts, last)], dtype="<u8")
+    return np.array([digest(flat[s:e], SEED) for s, e in zip(starts, last)], dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """Majority bits of the XXH64 of each word shingle, repeats included; no words: 0."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     bits = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]

@@ -29,9 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, that with the smallest doc_id."""
-    gone = exact_dedup.exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Of documents with equal texts, the row with the smallest doc_id."""
+    rows = _rows(docs)
+    found = written(exact_dedup.exact_groups(rows, also=("_row",)), "groups")
+    equal = found.where("kept and group_size > 1")
+    first = equal.groupBy("text_sha256").agg(F.min("_row").alias("_row"))
+    return _without(rows, found.where("not kept").select("_row").union(equal.select("_row").join(first, "_row", "left_anti")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

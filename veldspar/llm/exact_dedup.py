@@ -118,9 +118,9 @@ class CuckooShard:
                 yield self.n, bucket, slot, digest, keep, live
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of each row: SHA-256 of the text after each run of white space became one space; null is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.regexp_replace(text_of(), SPACE, " "), 256)).alias("digest"))
+def digests(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, digest) of each row: SHA-256 of the text after each run of white space became one space; null is empty. also: columns to carry along."""
+    return docs.select(*also, F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.regexp_replace(text_of(), SPACE, " "), 256)).alias("digest"))
 
 
 def _combined(keys: DataFrame) -> DataFrame:
@@ -168,17 +168,17 @@ def update(index: DataFrame | None, keys: DataFrame, shards: int, delete: bool =
     return index.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, INDEX)
 
 
-def exact_groups(docs: DataFrame, shards: int | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, shards: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text).
 
     Null text is empty text. Rows that share doc_id and text are one document and share its decision. A null doc_id
-    gives way to any other and stays only in a group that has no other. No rows give no rows; other columns are ignored.
+    gives way to any other and stays only in a group that has no other. No rows give no rows; other columns than those in also, which come first, are ignored.
     """
-    keys = written(digests(docs), "digests")
+    keys = written(digests(docs, also), "digests")
     shards = shards or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index = update(None, keys, shards)
     found = keys.join(index.select("digest", "keep_id", F.col("live").alias("group_size")), "digest")
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select(*also, "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

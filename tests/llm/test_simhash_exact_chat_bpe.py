@@ -167,14 +167,15 @@ def tokenizer():
 def test_automaton_agrees_with_the_library(tokenizer):
     path, library = tokenizer
     automaton = bpe_automaton.Automaton(bpe_automaton.definition_of(path))
-    spaced, plain = bpe_automaton.Memo(automaton, " "), bpe_automaton.Memo(automaton, "")
+    memo = bpe_automaton.Memo(automaton)
     r = random.Random(2)
     parts = ["a", "b", "the", "  ", " ", "\n", "\t", "é", "日", "'s", "'LL", "12", "!!", "<|endoftext|>", "\xa0", "\x1c", "\r\n", "😀", "aaaa", "ing", "Z", "é", " ", "ſ"]
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 16)))
         want = library.encode(text, add_special_tokens=False).ids
         assert automaton.encode(text) == want, repr(text)
-        got = bpe_automaton.run_text(text, automaton, spaced, plain)
+        assert [i for w in automaton.words(text) for i in ([automaton.special[w]] if w in automaton.special else automaton.encode_word(w.encode()))] == want, repr(text)
+        (got,) = bpe_automaton.run_texts([text], automaton, memo)
         assert ",".join(x[0] for x in got) == ",".join(map(str, want)), repr(text)
         assert b"".join(x[1] for x in got).decode() == text
         assert automaton.decode(want).decode("utf-8", "replace") == library.decode(want, skip_special_tokens=False)

@@ -62,6 +62,23 @@ def test_repair_round_trip(width):
         token_files.TokenFile(data[:-9] + b"x" + data[-8:])
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(3)
+    ids = np.concatenate([np.tile(r.integers(0, 9, 40), 60), r.integers(0, 9, 3000), np.zeros(500, int)])
+    ends = np.sort(r.choice(np.arange(1, len(ids)), 70, replace=False))
+    ends[-1] = len(ids)
+    seq, places, rules = token_files.repair(ids, ends, 10, 1 << 16)
+    assert token_files.expand(seq, rules, 10).tolist() == ids.tolist()
+    counts: dict = {}
+    for a, b in zip([0, *places[:-1].tolist()], places.tolist()):
+        own, k = seq[a:b].tolist(), 0
+        while k + 1 < len(own):
+            pair = (own[k], own[k + 1])
+            counts[pair] = counts.get(pair, 0) + 1
+            k += 2 if k + 2 < len(own) and own[k] == own[k + 1] == own[k + 2] else 1
+    assert max(counts.values()) < 2 * token_files.LEAST and sum(c >= token_files.LEAST for c in counts.values()) <= 1
+
+
 def test_token_files(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -93,11 +110,11 @@ def test_words_agree_with_the_library():
 
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    words = token_files.Words(open(path, encoding="utf-8").read())
-    assert words.plain
+    encoder = token_files.Encoder(open(path, encoding="utf-8").read())
+    assert encoder.plain
     r = random.Random(4)
-    letters = "aeiTHs't'llr'vE0129.,!$%-_<|>~\x7f\x01é"
+    letters = "aeiTHs't'llr'vE0129.,!$%-_<|>~ \n\x7f\x01éÉßŒſİĳ²½\xaa\xb5\xa0ΣǅǱ日"
     for _ in range(5000):
         word = "".join(r.choice(letters) for _ in range(r.randint(1, 12)))
         want = library.encode(word, add_special_tokens=False).ids
-        assert np.frombuffer(words[word.encode()], "<u2").tolist() == want, repr(word)
+        assert np.frombuffer(encoder.encode(word), "<u2").tolist() == want, repr(word)

@@ -15,9 +15,10 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,66 +27,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe_automaton import byte_letters
 from .common import pieces, text_of, work_path
 from .files import Pending, whole
 
 MAGIC = b"VSREPAIR"
 FILE_IDS = 4_000_000
-ROUNDS = 5
-WORDS_KEPT = 500_000  # of each of two generations
+LEAST = 4  # occurrences of a pair that is worth a rule
+MEMO_BYTES = 64 << 20  # of remembered pieces and words each; they are forgotten when a task ends
 MANIFEST = "file string, part int, roll int, documents long, ids long"
 TABLE = "doc_id long, n_tokens long, ids_crc32 long"
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, top: int, rounds: int = ROUNDS, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, top: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, places of the documents' ends in it, rules as rows left, right).
 
-    ids below base; nonterminals from base to top. ends: for each document the place behind its last id. A round
-    counts all pairs of the sequence, takes the most frequent as rules and replaces them from left to right.
+    ids below base; nonterminals from base to top. ends: for each document the place behind its last id. A round counts
+    all pairs of the sequence, takes those at least a sixteenth as frequent as the most frequent as rules and replaces them
+    from left to right. Rounds go on until no pair occurs least times or the numbers of an id's width are used up.
     """
     seq = ids.astype(np.uint32)
     inner = np.ones(len(seq), bool)  # whether a pair may start here
     inner[ends[ends > 0] - 1] = False
     rules: list[np.ndarray] = []
-    room = top - base
-    for turn in range(rounds):
-        if room <= 0 or len(seq) < 2:
-            break
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if top > 1 << 16 else seq[:-1] << np.uint32(16) | seq[1:]
+    room, shift = top - base, np.uint64(32) if top > 1 << 16 else np.uint32(16)
+    while room > 0 and len(seq) > 1:
+        pair = seq[:-1].astype(np.uint64) << shift | seq[1:] if shift == 32 else seq[:-1] << shift | seq[1:]
         kinds = np.sort(pair[inner[:-1]])
         if not len(kinds):
             break
         first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
         counts = np.diff(np.append(first, len(kinds)))
-        often = np.flatnonzero(counts >= least)
-        share = room if turn == rounds - 1 else max(1, room // (rounds - turn))
-        if len(often) > share:
-            often = often[np.argpartition(counts[often], len(often) - share)[len(often) - share :]]
+        often = np.flatnonzero(counts >= max(least, counts.max() // 16))
+        if len(often) > room:
+            often = often[np.argsort(-counts[often], kind="stable")[:room]]
         if not len(often):
             break
         chosen = kinds[first[often]]
-        # a table by hash; of pairs that fall together the first stays, the others have their turn later
+        # a table by hash; of pairs that fall together the first stays, the others are counted again next round
         spot = _spot(chosen)
         _, own = np.unique(spot, return_index=True)
-        chosen, spot = chosen[np.sort(own)], spot[np.sort(own)]
+        own = np.sort(own)
+        chosen, spot = chosen[own], spot[own]
         table = np.full(1 << 18, -1, np.int32)
         table[spot] = np.arange(len(chosen), dtype=np.int32)
         rule = table[_spot(pair)]
         hit = np.flatnonzero((rule >= 0) & inner[:-1])
         hit = hit[chosen[rule[hit]] == pair[hit]]
-        if not len(hit):
-            break
         run = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
         start = hit[np.flatnonzero(run)][np.cumsum(run) - 1]
         hit = hit[(hit - start) % 2 == 0]  # of overlapping pairs every other one, from the left
-        half = np.uint64(32) if top > 1 << 16 else np.uint32(16)
-        rules.append(np.stack([chosen >> half, chosen & ((1 << int(half)) - 1)], axis=1).astype(np.uint32))
-        seq[hit] = base + rule[hit]
+        used = np.bincount(rule[hit], minlength=len(chosen)) > 0  # a pair may lie in the shade of others each time
+        number = np.cumsum(used) - 1
+        rules.append(np.stack([chosen >> shift, chosen & ((1 << int(shift)) - 1)], axis=1).astype(np.uint32)[used])
+        seq[hit] = base + number[rule[hit]]
         stay = np.ones(len(seq), bool)
         stay[hit + 1] = False
         inner[hit] = inner[hit + 1]
         seq, inner = seq[stay], inner[stay]
-        base, room = base + len(chosen), room - len(chosen)
+        base, room = base + int(used.sum()), room - int(used.sum())
     places = np.flatnonzero(~inner) + 1
     return seq, places, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
@@ -197,20 +197,40 @@ class TokenFile:
             yield flat[start:end]
 
 
-#: The pre-split pattern of this vocabulary for lower-case ASCII.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-VISIBLE = re.compile(rb"[!-~]+")
+#: Fixed value: the pre-split pattern of this public vocabulary.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters below U+0250 that its normalizer only puts in lower case, one by one, and their classes in the pattern.
+_LATIN = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)] if c != 0x130]
+_CLASS = {k: "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == k) for k in "LN"}
+LATIN = re.compile(r"[\t-\r -~\xa1-\u012f\u0131-\u024f]*")
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_CLASS['L']}]+|[{_CLASS['N']}]|[^\t-\r {_CLASS['L']}{_CLASS['N']}]+")
+
+
+class Memo(dict):
+    """Packed ids of what make encodes; beyond MEMO_BYTES all are forgotten."""
 
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.size = make, 0
+
+    def __missing__(self, what: str) -> bytes:
+        got = self.make(what)
+        self.size += 200 + 2 * len(what) + len(got)
+        if self.size > MEMO_BYTES:
+            self.clear()
+            self.size = 200
+        self[what] = got
+        return got
 
-class Words(dict):
-    """Packed ids of stretches without white space; of two generations the older is forgotten.
 
-    The library encodes each stretch once. Visible ASCII, which its normalizer only puts in lower case, is cut to
-    pieces here, so that its model sees a word once, whatever stands around it.
+class Encoder:
+    """Packed ids of texts by the tokenizers library.
+
+    Texts of Latin characters are cut here as the library cuts them, so that its model sees a piece once, whatever
+    stands around it; other texts go to the library stretch by stretch between white space.
     """
 
     def __init__(self, definition: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
@@ -220,44 +240,41 @@ class Words(dict):
         self.width = 2 if self.size < 1 << 16 else 4
         told = json.loads(definition)
         split = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
-        self.plain = split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.plain = split == SPLIT
+        self.marks = [x["content"] for x in told.get("added_tokens", [])]
         self.model = self.library.model
-        self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.stretches = Memo(self._piece), Memo(self._stretch)
 
     def pack(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= WORDS_KEPT:
-                self.pieces.clear()
-            got = self.pieces[piece] = self.pack([t.id for t in self.model.tokenize(piece)])
-        return got
+        shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return self.pack([t.id for t in self.model.tokenize(shown)])
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            if self.plain and VISIBLE.fullmatch(word) and b"<|" not in word:
-                got = b"".join(map(self._piece, PIECES.findall(word.decode().lower())))
-            else:
-                got = self.pack(self.library.encode(word.decode(), add_special_tokens=False).ids)
-        if len(self) >= WORDS_KEPT:
-            self.old = dict(self)
-            self.clear()
-        self[word] = got
-        return got
+    def _stretch(self, stretch: bytes) -> bytes:
+        return self.pack(self.library.encode(stretch.decode(), add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> bytes:
+        if self.plain and LATIN.fullmatch(text) and not any(m in text for m in self.marks):
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+        return b"".join(map(self.stretches.__getitem__, text.encode().split()))
 
 
-_READY: dict[int, Words] = {}
+_READY: dict[int, Encoder] = {}
 
 
-def _words(definition: str) -> Words:
+def _encoder(definition: str) -> Encoder:
+    """A worker's encoder, made once, with nothing remembered."""
     key = hash(definition)
     if key not in _READY:
         _READY.clear()
-        _READY[key] = Words(definition)
+        _READY[key] = Encoder(definition)
+    _READY[key].forget()
     return _READY[key]
 
 
@@ -266,15 +283,15 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_
 
     path: a tokenizer file of the tokenizers library that drops white space and splits at it, so that stretches
     between white space can be encoded apart. Null text is empty and leaves the end id alone; a null doc_id comes
-    first; repeated rows are written each, in the order of their text. No rows give no files; other columns are ignored.
+    first; rows of one doc_id are written each, in the order of a hash of their text. No rows give no files; other columns are ignored.
     """
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as file:
         told = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(told.value)
-        end = words.pack([end_id])
+        encoder = _encoder(told.value)
+        end = encoder.pack([end_id])
         part, done = TaskContext.get().partitionId(), []
         doc_ids: list = []
         parts: list[bytes] = []
@@ -283,7 +300,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_
         def close() -> None:
             nonlocal held
             file = Pending(folder, f"part-{part:05d}-{len(done):04d}.ids")
-            data, count = pack(doc_ids, parts, words.width, words.size)
+            data, count = pack(doc_ids, parts, encoder.width, encoder.size)
             file.write(data)
             file.commit()
             done.append((file.name, part, len(done), len(parts), count))
@@ -292,22 +309,22 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_
             held = 0
 
         for batch in pieces(batches, "text"):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                found = list(map(words.__getitem__, text.as_buffer().to_pybytes().split()))
-                found.append(end)
-                parts.append(b"".join(found))
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                parts.append(encoder.encode(text) + end)
                 doc_ids.append(doc_id)
                 held += len(parts[-1])
-                if held >= file_ids * words.width:
+                if held >= file_ids * encoder.width:
                     close()
         if parts:
             close()
+        encoder.forget()
         if done:
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate(kinds)], names=[x.split(" ")[0] for x in MANIFEST.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
@@ -318,10 +335,13 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files of the manifest; with ids also input_ids.
 
-    The running sum that gives each file its start is over files, not documents.
+    A file's start is the ids of the tasks before (a running sum over tasks) and of the task's files before it.
     """
-    before = W.orderBy("part", "roll").rowsBetween(W.unboundedPreceding, -1)
-    files = read_manifest(spark, folder).select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
+    manifest = read_manifest(spark, folder)
+    past = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tasks = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", past(W.orderBy("part")).alias("before"))
+    own = manifest.select("part", "file", past(W.partitionBy("part").orderBy("roll")).alias("within"))
+    files = own.join(tasks, "part").select("file", (F.col("before") + F.col("within")).alias("first"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", input_ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +361,8 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
                     names.append("input_ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number keeps the few small rows of names in as many tasks
-    return files.repartition(tasks, "file").mapInArrow(run, schema)
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))  # keeps the few small rows of names in as many tasks
+    return files.repartition(number, "file").mapInArrow(run, schema)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

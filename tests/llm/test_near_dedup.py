@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from veldspar.llm import near_dedup
+from veldspar.llm import simhash
 
 DOCS = "doc_id long, text string"
 
@@ -57,9 +57,16 @@ def test_near_stage_matches_brute_force(spark):
     assert 60 < len(want) < len(rows) - 100
 
 
-def test_chains_across_a_bucket_are_found(spark, monkeypatch):
-    # All rows in one bucket: rows that aren't similar to its first one must still meet the others.
-    monkeypatch.setattr(near_dedup, "buckets", lambda own: near_dedup.np.zeros(near_dedup.BANDS, "i8"))
+def test_chains_across_a_tile_are_found(spark, monkeypatch):
+    # All rows within reach: rows that aren't similar to their first partner must still meet the others.
+    monkeypatch.setattr(simhash, "REACH", 128)
     rows = [x for x in near_corpus() if x[0] < 300 or x[0] > 4960]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows)
+
+
+def test_several_tiles_to_a_class(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 7)
+    rows = near_corpus()
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(5), "")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows)

@@ -35,7 +35,7 @@ _LATIN = [chr(c) for c in range(0x250) if c not in range(0x1C, 0x20)]
 _CLASS = {k: "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == k) for k in "LN"}
 _BLANK = r"\t-\r \x85\xa0"
 LATIN = re.compile(r"[\x00-\x1b\x20-\u024f]*")
-LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_CLASS['L']}]+| ?[{_CLASS['N']}]+| ?[^{_BLANK}{_CLASS['L']}{_CLASS['N']}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+LATIN_WORDS = re.compile(rf" ?[{_CLASS['L']}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_CLASS['N']}]+| ?[^{_BLANK}{_CLASS['L']}{_CLASS['N']}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 MEMO_BYTES = 48 << 20  # of remembered words, in each of two generations; they are forgotten when a task ends
 ENTRY_BYTES = 300  # of an entry besides its characters
 IN_STEP = 48  # bytes; longer words run alone

@@ -2,12 +2,15 @@
 
 Two classifiers see a document from two sides: its text (words that occur, shares of kinds of characters) and its
 page's metadata (source, language, size). Both are logistic regressions. They start from the labelled rows; in each
-round, either one labels the documents of an unlabelled pool of which it is surest, in the classes' proportion, for
-the other. Their scores are then calibrated on held-out labelled rows (Platt) and combined as log-odds over the prior.
-All documents are scored with the combined model, in place and without a shuffle.
-
-A document is good if its quality label is 1 and it isn't labelled toxic. The models are fitted on the driver on
-bounded samples: SAMPLE labelled and POOL unlabelled rows, least by a hash of doc_id.
+round, either one scores all unlabelled documents and labels those of which it is surest, in the classes' proportion,
+for the other. Their scores are then calibrated on held-out labelled rows (Platt) and combined as log-odds over the
+prior. All documents are scored with the combined model, in place and without a shuffle.
+
+There are two heads of two views each: one for quality, one for the absence of toxicity. A document is good if its
+quality label is 1 and it isn't labelled toxic; its score is the lesser of the heads' probabilities. The models are
+fitted on the driver on bounded numbers of rows: SAMPLE labelled ones, least by a hash of doc_id, and PSEUDO surest
+ones for each head, view and round. The documents' features are written once, reduced to the words that the models
+know, so that a round reads little.
 """
 
 from __future__ import annotations
@@ -21,16 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, written
 
 SAMPLE = 12_000
-POOL = 4_000
+PSEUDO = 400  # documents that a view labels in a round at most
 ROUNDS = 3
 SURE = 0.95
-SHARE = 0.1  # of the pool that a view labels in a round at most
 LEAST_DOCS = 5  # documents of the sample that a word must occur in
-TELLING = 4.0  # standard errors by which a word's share of good documents must be off
+TELLING = 3.5  # standard errors by which a word's share of good documents must be off
 THRESHOLD = 0.5
+HEADS = ("quality", "clean")
+STEMS = (3, 5)  # characters
+SHARED = (2, 4, 8)  # words of a text that share a stem
 EDGE = ".,;:!?\"'()[]"
 SCORES = "doc_id long, p_text double, p_meta double, p double, kept boolean"
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -39,16 +44,27 @@ _LETTERS = _UPPER + _LOWER + bytes(range(128, 256))
 
 
 class WordHashes(dict):
-    """64-bit hash of a word in lower case without punctuation at its ends."""
+    """64-bit hashes of a word in lower case without punctuation at its ends, and of its stems: its first STEMS characters."""
 
-    def __missing__(self, word: str) -> int:
-        got = xxhash.xxh64_intdigest(word.strip(EDGE).lower())
-        if len(self) > 500_000:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        bare = word.strip(EDGE).lower()
+        got = (xxhash.xxh64_intdigest(bare), *(xxhash.xxh64_intdigest(bare[:n], n) for n in STEMS))
+        if len(self) > 100_000:
             self.clear()
         self[word] = got
         return got
 
 
+def text_keys(words: set[str], hashes: WordHashes) -> np.ndarray:
+    """Features of a text's distinct words: each word, and each stem that so many of them share."""
+    own = np.array(list(map(hashes.__getitem__, words)), np.uint64).reshape(-1, 1 + len(STEMS))
+    out = [own[:, 0]]
+    for k in range(1, own.shape[1]):
+        stems, counts = np.unique(own[:, k], return_counts=True)
+        out += [stems[counts >= n] * np.uint64(2 * n + 1) for n in SHARED]
+    return np.unique(np.concatenate(out))
+
+
 def text_stats(text: str, words: list[str], distinct: int) -> list[float]:
     """Sizes and shares of kinds of characters and words."""
     raw = text.encode()
@@ -162,8 +178,8 @@ def _odds(z: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """Both views and the prior log-odds of a good document. A model without views gives the prior."""
+class Head:
+    """Both views and the prior log-odds of the wanted class. A head without views gives the prior."""
 
     text: View | None
     meta: View | None
@@ -178,35 +194,60 @@ class Model:
         return _odds(a), _odds(b), _odds(a + b - self.prior)
 
 
-def cotrain(text: Rows, meta: Rows, good: np.ndarray, pool_text: Rows, pool_meta: Rows, rounds: int = ROUNDS) -> Model:
-    """Fits both views on labelled rows (every third held out for calibration) and the pool."""
-    n = len(good)
-    prior = float(np.log((good.sum() + 1) / (n - good.sum() + 1)))
-    held = np.arange(n) % 3 == 2
-    train = np.flatnonzero(~held)
-    if min(good[train].sum(), len(train) - good[train].sum()) < 3 or len(set(good[held].tolist())) < 2:
-        return Model(None, None, prior)
-    views = (View(), View())
-    labelled, pool = (text.take(train), meta.take(train)), (pool_text, pool_meta)
-    extra: list[dict[int, float]] = [{}, {}]  # pool row -> label that the other view gave
-    for view, rows, least, telling in zip(views, labelled, (LEAST_DOCS, 2), (TELLING, 0.0)):
-        view.prepare(rows, good[train], least, telling)
-    base = good[train].mean()
-    for turn in range(rounds + 1):
-        for k, view in enumerate(views):
-            more = np.array(sorted(extra[k]), np.int64)
-            rows = Rows(labelled[k].keys + [pool[k].keys[i] for i in more], np.concatenate([labelled[k].dense, pool[k].dense[more]]))
-            view.fit(rows, np.concatenate([good[train], [extra[k][i] for i in more]]), steps=120 if turn == 0 else 40)
-        if turn == rounds or not len(pool_text.keys):
-            break
-        for k, view in enumerate(views):
-            p = _odds(view.margin(pool[k]))
-            most = int(SHARE * len(p))
-            up, down = np.argsort(-p, kind="stable")[: round(most * base)], np.argsort(p, kind="stable")[: round(most * (1 - base))]
-            extra[1 - k] |= {int(i): 1.0 for i in up if p[i] >= SURE} | {int(i): 0.0 for i in down if p[i] <= 1 - SURE}
-    for view, rows in zip(views, (text, meta)):
-        view.calibrate(view.margin(rows.take(np.flatnonzero(held))), good[held])
-    return Model(*views, prior)
+@dataclass
+class Model:
+    """A head for quality and one for the absence of toxicity."""
+
+    heads: tuple[Head, ...]
+
+    def scores(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each = [head.scores(text, meta) for head in self.heads]
+        return tuple(np.min([x[k] for x in each], axis=0) for k in range(3))
+
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """The features that either view of any head looks at."""
+        views = [(h.text, h.meta) for h in self.heads if h.text is not None]
+        none = np.zeros(0, np.uint64)
+        return np.unique(np.concatenate([none, *(v[0].known for v in views)])), np.unique(np.concatenate([none, *(v[1].known for v in views)]))
+
+
+class Training:
+    """One head while it is fitted: labelled rows, every third of which is held out for calibration, and pseudo-labels."""
+
+    def __init__(self, text: Rows, meta: Rows, good: np.ndarray):
+        n = len(good)
+        self.rows, self.good = (text, meta), good
+        self.prior = float(np.log((good.sum() + 1) / (n - good.sum() + 1)))
+        self.held = np.arange(n) % 3 == 2
+        self.train = np.flatnonzero(~self.held)
+        own = good[self.train]
+        self.able = min(own.sum(), len(own) - own.sum()) >= 3 and len(set(good[self.held].tolist())) == 2
+        self.views = (View(), View()) if self.able else (None, None)
+        self.labelled = (text.take(self.train), meta.take(self.train))
+        self.extra: list[dict[tuple, tuple[Rows, float]]] = [{}, {}]  # row -> its features and the label that the other view gave
+        self.base = float(own.mean()) if len(own) else 0.5
+        if self.able:
+            for view, rows, least, telling in zip(self.views, self.labelled, (LEAST_DOCS, LEAST_DOCS), (TELLING, TELLING)):
+                view.prepare(rows, own, least, telling)
+
+    def fit(self, steps: int) -> None:
+        for view, rows, extra in zip(self.views, self.labelled, self.extra):
+            if view is not None:
+                more = [extra[k] for k in sorted(extra, key=repr)]
+                joined = Rows(rows.keys + [x.keys[0] for x, _ in more], np.concatenate([rows.dense, *(x.dense for x, _ in more)]))
+                view.fit(joined, np.concatenate([self.good[self.train], [y for _, y in more]]), steps=steps)
+
+    def trusted(self, k: int, label: float) -> bool:
+        """Whether view k is right about the held-out rows of which it is that sure, as often as it claims; one that tells nothing must not teach the other."""
+        p = _odds(self.views[k].margin(self.rows[k].take(np.flatnonzero(self.held))))
+        own = self.good[self.held][p >= SURE if label else p <= 1 - SURE]
+        return len(own) >= 5 and (own == label).mean() >= SURE
+
+    def head(self) -> Head:
+        for view, rows in zip(self.views, self.rows):
+            if view is not None:
+                view.calibrate(view.margin(rows.take(np.flatnonzero(self.held))), self.good[self.held])
+        return Head(*self.views, self.prior)
 
 
 def views_of(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[Rows, Rows]:
@@ -214,7 +255,7 @@ def views_of(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[Rows, Rows]:
     for text in batch["text"].to_pylist():
         words = (text or "").split()
         distinct = set(words)
-        keys.append(np.unique(np.fromiter(map(hashes.__getitem__, distinct), np.uint64, len(distinct))))
+        keys.append(text_keys(distinct, hashes))
         stats.append(text_stats(text or "", words, len(distinct)))
     sizes = batch["n_chars"].to_pylist()
     meta = [np.unique(np.array(meta_keys(*x), np.uint64)) for x in zip(batch["source"].to_pylist(), batch["lang"].to_pylist(), sizes)]
@@ -222,22 +263,30 @@ def views_of(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[Rows, Rows]:
     return Rows(keys, np.array(stats).reshape(-1, 12)), Rows(meta, np.concatenate([size, size**2], axis=1))
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """doc_id and both views of each row, packed."""
+def _features(docs: DataFrame, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """doc_id, a hash h of the row and both views of each row, packed; of the features only those in known, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in pieces(batches, "text"):
             text, meta = views_of(batch, hashes)
+            if known:
+                text.keys = [x[np.isin(x, known[0], assume_unique=True)] for x in text.keys]
+                meta.keys = [x[np.isin(x, known[1], assume_unique=True)] for x in meta.keys]
             packed = [[x.tobytes() for x in y] for y in (text.keys, text.dense, meta.keys, meta.dense)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.binary()) for x in packed)], names=["doc_id", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], *(pa.array(x, pa.binary()) for x in packed)], names=FEATURES)
 
-    return docs.mapInArrow(run, "doc_id long, a binary, b binary, c binary, d binary")
+    keyed = docs.withColumn("h", F.xxhash64("text", "source", "lang", "n_chars"))
+    return keyed.mapInArrow(run, "doc_id long, h long, a binary, b binary, c binary, d binary")
 
 
-def _unpacked(rows: list) -> tuple[Rows, Rows]:
-    read = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-    return (Rows(read("a", np.uint64), np.array(read("b", np.float64)).reshape(-1, 12)), Rows(read("c", np.uint64), np.array(read("d", np.float64)).reshape(-1, 2)))
+FEATURES = ["doc_id", "h", "a", "b", "c", "d"]
+
+
+def _unpacked(columns: list[list]) -> tuple[Rows, Rows]:
+    """Both views of packed columns a, b, c, d."""
+    read = lambda k, kind: [np.frombuffer(x, kind) for x in columns[k]]
+    return Rows(read(0, np.uint64), np.array(read(1, np.float64)).reshape(-1, 12)), Rows(read(2, np.uint64), np.array(read(3, np.float64)).reshape(-1, 2))
 
 
 def _seen(docs: DataFrame) -> DataFrame:
@@ -247,24 +296,72 @@ def _seen(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), col("text", "string"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
-    """Co-trains on sample labelled and pool unlabelled rows of docs at most, the least by a hash of doc_id.
+def _exchange(spare: DataFrame, heads: dict[int, Training], pseudo: int) -> None:
+    """Lets each view of each head label the unlabelled rows of which it is surest, for the head's other view."""
+    told = spare.sparkSession.sparkContext.broadcast({n: x.views for n, x in heads.items()})
+    slots = [(n, k) for n in sorted(heads) for k in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _unpacked([batch[c].to_pylist() for c in "abcd"])
+            for n, k in slots:
+                p = _odds(told.value[n][k].margin(rows[k]))
+                sure = pa.array((p >= SURE) | (p <= 1 - SURE))
+                at = np.full(len(p), n * 2 + k, np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in FEATURES), pa.array(at), pa.array(p)], names=[*FEATURES, "slot", "p"]).filter(sure)
+
+    scored = written(spare.mapInArrow(run, "doc_id long, h long, a binary, b binary, c binary, d binary, slot int, p double"), "surest")
+    picks = []
+    for n, k in slots:
+        for label, share in ((1.0, heads[n].base), (0.0, 1 - heads[n].base)):
+            if not heads[n].trusted(k, label):
+                continue
+            own = scored.where((F.col("slot") == n * 2 + k) & (F.col("p") >= SURE if label else F.col("p") <= 1 - SURE))
+            order = F.desc("p") if label else F.asc("p")
+            picks.append(own.orderBy(order, "doc_id", "h").limit(round(pseudo * share)).withColumn("label", F.lit(label)))
+    for part in picks:
+        for r in part.collect():
+            rows = _unpacked([[r.a], [r.b], [r.c], [r.d]])
+            other = 1 - r.slot % 2
+            heads[r.slot // 2].extra[other][(r.doc_id, r.h)] = rows[other], r.label
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pseudo: int = PSEUDO, rounds: int = ROUNDS, features: list | None = None) -> Model:
+    """Co-trains on sample labelled rows of docs at most, the least by a hash of doc_id, and on all unlabelled ones.
 
     labels: doc_id, quality, toxic. Rows without doc_id or quality are no labels, null toxic is 0; of several labels the
-    worst counts. Without enough of both classes the model is the share of good rows.
+    worst counts. Of rows that share a labelled doc_id the least by a hash is the labelled one. Without enough of both
+    classes a head is the share of its wanted class. A list given as features gets the written features of all rows.
     """
     seen = _seen(docs)
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    marked = marked.agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).alias("good"))
+    marked = marked.agg(F.min((F.col("quality") == 1).cast("double")).alias("quality"), F.min((F.coalesce("toxic", F.lit(0)) != 1).cast("double")).alias("clean"))
     order = F.xxhash64(F.lit("sample"), "doc_id")
-    chosen = {r.doc_id: float(r.good) for r in marked.orderBy(order, "doc_id").limit(sample).collect()}
-    rest = seen.select("doc_id").where("doc_id is not null").join(marked.select("doc_id"), "doc_id", "left_anti").distinct()
-    spare = [r.doc_id for r in rest.orderBy(order, "doc_id").limit(pool).collect()]
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in [*chosen, *spare]], "doc_id long")
-    rows = {r.doc_id: r for r in _features(seen.join(F.broadcast(wanted), "doc_id")).toLocalIterator()}
-    ordered = lambda ids: [rows[i] for i in ids if i in rows]
-    own, other = ordered(chosen), ordered(spare)
-    return cotrain(*_unpacked(own), np.array([chosen[r.doc_id] for r in own]), *_unpacked(other))
+    chosen = {r.doc_id: r for r in marked.orderBy(order, "doc_id").limit(sample).collect()}
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    one = _features(seen.join(F.broadcast(wanted), "doc_id")).groupBy("doc_id").agg(F.min(F.struct("h", "a", "b", "c", "d")).alias("x"))
+    rows = {r.doc_id: r.x for r in one.toLocalIterator()}
+    own = [i for i in chosen if i in rows]
+    text, meta = _unpacked([[rows[i][c] for i in own] for c in "abcd"])
+    heads = [Training(text, meta, np.array([chosen[i][name] for i in own], float)) for name in HEADS]
+    able = {n: x for n, x in enumerate(heads) if x.able}
+    for x in able.values():
+        x.fit(400)
+    if able or features is not None:
+        table = written(_features(seen, Model(tuple(Head(*x.views, x.prior) for x in heads)).known()), "features")
+        if features is not None:
+            features.append(table)
+        spare = table.join(marked.select("doc_id"), "doc_id", "left_anti")
+        for _ in range(rounds if able else 0):
+            _exchange(spare, able, pseudo)
+            for x in able.values():
+                x.fit(80)
+    return Model(tuple(x.head() for x in heads))
+
+
+def _judged(doc_id: pa.Array, rows: tuple[Rows, Rows], model: Model, threshold: float) -> pa.RecordBatch:
+    a, b, p = model.scores(*rows)
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(a), pa.array(b), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "p_text", "p_meta", "p", "kept"])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,25 +371,39 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in pieces(batches, "text"):
-            a, b, p = told.value.scores(*views_of(batch, hashes))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(a), pa.array(b), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "p_text", "p_meta", "p", "kept"])
+            yield _judged(batch["doc_id"], views_of(batch, hashes), told.value, threshold)
 
     return _seen(docs).mapInArrow(run, SCORES)
 
 
+def score_features(features: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """What score() returns, from the features that fit() wrote."""
+    told = features.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _judged(batch["doc_id"], _unpacked([batch[c].to_pylist() for c in "abcd"]), told.value, threshold)
+
+    return features.mapInArrow(run, SCORES)
+
+
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all columns, that the model accepts."""
+    """The rows of docs, with all columns, that the model accepts; columns that it reads may be missing or null."""
     told = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = {"doc_id": pa.int64(), "text": pa.string(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in pieces(batches, "text"):
-            kept = told.value.scores(*views_of(batch, hashes))[2] >= threshold
+            have = set(batch.schema.names)
+            seen = {n: batch[n].cast(k) if n in have else pa.nulls(batch.num_rows, k) for n, k in kinds.items()}
+            kept = told.value.scores(*views_of(pa.RecordBatch.from_pydict(seen), hashes))[2] >= threshold
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    docs, features = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), features=features)
+    return score_features(features[0], model)

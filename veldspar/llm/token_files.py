@@ -203,7 +203,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)] if c != 0x130]
 _CLASS = {k: "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == k) for k in "LN"}
 LATIN = re.compile(r"[\t-\r -~\xa1-\u012f\u0131-\u024f]*")
-PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_CLASS['L']}]+|[{_CLASS['N']}]|[^\t-\r {_CLASS['L']}{_CLASS['N']}]+")
+PIECES = re.compile(rf"[{_CLASS['L']}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_CLASS['N']}]|[^\t-\r {_CLASS['L']}{_CLASS['N']}]+")
 
 
 class Memo(dict):

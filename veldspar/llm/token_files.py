@@ -34,7 +34,7 @@ from .files import Pending, whole
 MAGIC = b"VSREPAIR"
 FILE_IDS = 4_000_000
 LEAST = 4  # occurrences of a pair that is worth a rule
-MEMO_BYTES = 64 << 20  # of remembered pieces and words each; they are forgotten when a task ends
+MEMO_BYTES = 64 << 20  # of remembered pieces and of stretches; they are forgotten with the stage
 MANIFEST = "file string, part int, roll int, documents long, ids long"
 TABLE = "doc_id long, n_tokens long, ids_crc32 long"
 
@@ -244,9 +244,6 @@ class Encoder:
         self.marks = [x["content"] for x in told.get("added_tokens", [])]
         self.model = self.library.model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.forget()
-
-    def forget(self) -> None:
         self.pieces, self.stretches = Memo(self._piece), Memo(self._stretch)
 
     def pack(self, ids: list[int]) -> bytes:
@@ -265,16 +262,15 @@ class Encoder:
         return b"".join(map(self.stretches.__getitem__, text.encode().split()))
 
 
-_READY: dict[int, Encoder] = {}
+_READY: dict[tuple[int, int], Encoder] = {}
 
 
 def _encoder(definition: str) -> Encoder:
-    """A worker's encoder, made once, with nothing remembered."""
-    key = hash(definition)
+    """A worker's encoder for the tasks of one stage; that of another stage goes, and what it remembers with it."""
+    key = hash(definition), TaskContext.get().stageId()
     if key not in _READY:
         _READY.clear()
         _READY[key] = Encoder(definition)
-    _READY[key].forget()
     return _READY[key]
 
 
@@ -317,7 +313,6 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_
                     close()
         if parts:
             close()
-        encoder.forget()
         if done:
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate(kinds)], names=[x.split(" ")[0] for x in MANIFEST.split(", ")])

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,39 +44,57 @@ _SPACE, _USUAL = b" \t\n\r\x0b\x0c", b".,;:'\"()-"
 _LETTERS = _UPPER + _LOWER + bytes(range(128, 256))
 
 
-class WordHashes(dict):
-    """64-bit hashes of a word in lower case without punctuation at its ends, and of its stems: its first STEMS characters."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        bare = word.strip(EDGE).lower()
-        got = (xxhash.xxh64_intdigest(bare), *(xxhash.xxh64_intdigest(bare[:n], n) for n in STEMS))
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = got
-        return got
-
-
-def text_keys(words: set[str], hashes: WordHashes) -> np.ndarray:
-    """Features of a text's distinct words: each word, and each stem that so many of them share."""
-    own = np.array(list(map(hashes.__getitem__, words)), np.uint64).reshape(-1, 1 + len(STEMS))
-    out = [own[:, 0]]
-    for k in range(1, own.shape[1]):
-        stems, counts = np.unique(own[:, k], return_counts=True)
-        out += [stems[counts >= n] * np.uint64(2 * n + 1) for n in SHARED]
-    return np.unique(np.concatenate(out))
-
-
-def text_stats(text: str, words: list[str], distinct: int) -> list[float]:
+def _hashed(values: pa.Array, seed: int = 0) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x, seed) for x in values.to_pylist()), np.uint64, len(values))
+
+
+class Words:
+    """Words of texts in lower case without punctuation at their ends: how many each text has, and (doc, code) of its distinct ones in values."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.utf8_split_whitespace(texts)
+        flat, parent = lists.flatten(), lists.value_parent_indices()
+        full = pc.not_equal(flat, "")  # white space at the ends leaves empty ones
+        flat, parent = flat.filter(full), np.asarray(parent.filter(full))
+        coded = pc.utf8_lower(pc.utf8_trim(flat, characters=EDGE)).dictionary_encode()
+        self.values = coded.dictionary
+        n = max(1, len(self.values))
+        pairs = np.unique(parent.astype(np.int64) * n + np.asarray(coded.indices, np.int64))
+        self.doc, self.code = pairs // n, pairs % n
+        self.count, self.distinct = np.bincount(parent, minlength=len(texts)), np.bincount(self.doc, minlength=len(texts))
+
+    def features(self, known: np.ndarray | None = None) -> list[np.ndarray]:
+        """Sorted hashes of each text's features: its words, and each stem that so many of them share; of known ones only, if given."""
+        told = [(self.doc, _hashed(self.values)[self.code])]
+        for length in STEMS:
+            stems = pc.utf8_slice_codeunits(self.values, 0, length).dictionary_encode()
+            n = max(1, len(stems.dictionary))
+            own, counts = np.unique(self.doc * n + np.asarray(stems.indices, np.int64)[self.code], return_counts=True)
+            hashes = _hashed(stems.dictionary, length)
+            told += [(own[counts >= k] // n, hashes[own[counts >= k] % n] * np.uint64(2 * k + 1)) for k in SHARED]
+        doc, key = (np.concatenate([x[k] for x in told]) for k in (0, 1))
+        if known is not None:
+            hit = np.isin(key, known)
+            doc, key = doc[hit], key[hit]
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])[: len(doc)]
+        doc, key = doc[new], key[new]
+        return np.split(key, np.searchsorted(doc, np.arange(1, len(self.count))))
+
+
+def text_stats(text: str, words: int, distinct: int) -> list[float]:
     """Sizes and shares of kinds of characters and words."""
     raw = text.encode()
     size = max(1, len(raw))
-    n = max(1, len(words))
+    n = max(1, words)
     left = lambda drop: len(raw.translate(None, drop))
     upper, letters = size - left(_UPPER), size - left(_LETTERS)
     odd = left(_LETTERS + _DIGIT + _SPACE + _USUAL)
     return [
-        np.log1p(len(words)), np.log1p(len(raw) / n), upper / max(1, letters), odd / size, np.log1p(100 * odd / size), (size - left(_DIGIT)) / size,
-        np.log1p(distinct) - np.log1p(len(words)), raw.count(b"|") / n, raw.count(b"\n") / n, raw.count(b"!") / n, letters / size, float(not words),
+        np.log1p(words), np.log1p(len(raw) / n), upper / max(1, letters), odd / size, np.log1p(100 * odd / size), (size - left(_DIGIT)) / size,
+        np.log1p(distinct) - np.log1p(words), raw.count(b"|") / n, raw.count(b"\n") / n, raw.count(b"!") / n, letters / size, float(not words),
     ]
 
 
@@ -250,43 +269,51 @@ class Training:
         return Head(*self.views, self.prior)
 
 
-def views_of(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[Rows, Rows]:
-    keys, stats = [], []
-    for text in batch["text"].to_pylist():
-        words = (text or "").split()
-        distinct = set(words)
-        keys.append(text_keys(distinct, hashes))
-        stats.append(text_stats(text or "", words, len(distinct)))
+def views_of(batch: pa.RecordBatch, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Rows, Rows]:
+    """Both views of a batch's rows; of the features only those in known, if given."""
+    texts = pc.fill_null(batch["text"].cast(pa.large_string()), "")
+    words = Words(texts)
+    stats = [text_stats(t, n, d) for t, n, d in zip(texts.to_pylist(), words.count.tolist(), words.distinct.tolist())]
     sizes = batch["n_chars"].to_pylist()
     meta = [np.unique(np.array(meta_keys(*x), np.uint64)) for x in zip(batch["source"].to_pylist(), batch["lang"].to_pylist(), sizes)]
+    if known:
+        meta = [x[np.isin(x, known[1], assume_unique=True)] for x in meta] if len(known[1]) else [x[:0] for x in meta]
     size = np.array([np.log1p(max(x or 0, 0)) for x in sizes]).reshape(-1, 1)
-    return Rows(keys, np.array(stats).reshape(-1, 12)), Rows(meta, np.concatenate([size, size**2], axis=1))
+    single = lambda x: x.astype(np.float32).astype(np.float64)  # as they are written
+    return Rows(words.features(known[0] if known else None), single(np.array(stats).reshape(-1, 12))), Rows(meta, single(np.concatenate([size, size**2], axis=1)))
+
+
+#: Features of a row, packed: h is a hash of the row, a to d are features and numbers of the text and of the metadata.
+FEATURES = "doc_id long, h long, a binary, b binary, c binary, d binary"
+_COLUMNS = [x.split(" ")[0] for x in FEATURES.split(", ")]
 
 
 def _features(docs: DataFrame, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """doc_id, a hash h of the row and both views of each row, packed; of the features only those in known, if given."""
+    """FEATURES of each row: hashes of features, or with known the places of those that are in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in pieces(batches, "text"):
-            text, meta = views_of(batch, hashes)
+            text, meta = views_of(batch, known)
+            keys = (text.keys, meta.keys)
             if known:
-                text.keys = [x[np.isin(x, known[0], assume_unique=True)] for x in text.keys]
-                meta.keys = [x[np.isin(x, known[1], assume_unique=True)] for x in meta.keys]
-            packed = [[x.tobytes() for x in y] for y in (text.keys, text.dense, meta.keys, meta.dense)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], *(pa.array(x, pa.binary()) for x in packed)], names=FEATURES)
+                keys = tuple([np.searchsorted(k, x).astype(np.uint32) for x in y] for k, y in zip(known, keys))
+            packed = [[x.tobytes() for x in y] for y in (keys[0], text.dense.astype(np.float32), keys[1], meta.dense.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], *(pa.array(x, pa.binary()) for x in packed)], names=_COLUMNS)
 
-    keyed = docs.withColumn("h", F.xxhash64("text", "source", "lang", "n_chars"))
-    return keyed.mapInArrow(run, "doc_id long, h long, a binary, b binary, c binary, d binary")
+    return docs.withColumn("h", F.xxhash64("text", "source", "lang", "n_chars")).mapInArrow(run, FEATURES)
 
 
-FEATURES = ["doc_id", "h", "a", "b", "c", "d"]
+def _unpacked(columns: list[list], known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Rows, Rows]:
+    """Both views of packed columns a, b, c, d."""
+    dense = lambda k, n: np.frombuffer(b"".join(columns[k]), np.float32).reshape(-1, n).astype(np.float64)
 
+    def keys(k: int) -> list[np.ndarray]:
+        if known is None:
+            return [np.frombuffer(x, np.uint64) for x in columns[k]]
+        sizes = np.array([len(x) // 4 for x in columns[k]], np.int64)
+        return np.split(known[k // 2][np.frombuffer(b"".join(columns[k]), np.uint32)], np.cumsum(sizes)[:-1]) if len(sizes) else []
 
-def _unpacked(columns: list[list]) -> tuple[Rows, Rows]:
-    """Both views of packed columns a, b, c, d."""
-    read = lambda k, kind: [np.frombuffer(x, kind) for x in columns[k]]
-    return Rows(read(0, np.uint64), np.array(read(1, np.float64)).reshape(-1, 12)), Rows(read(2, np.uint64), np.array(read(3, np.float64)).reshape(-1, 2))
+    return Rows(keys(0), dense(1, 12)), Rows(keys(2), dense(3, 2))
 
 
 def _seen(docs: DataFrame) -> DataFrame:
@@ -296,34 +323,48 @@ def _seen(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), col("text", "string"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def _exchange(spare: DataFrame, heads: dict[int, Training], pseudo: int) -> None:
-    """Lets each view of each head label the unlabelled rows of which it is surest, for the head's other view."""
-    told = spare.sparkSession.sparkContext.broadcast({n: x.views for n, x in heads.items()})
-    slots = [(n, k) for n in sorted(heads) for k in (0, 1)]
+def _exchange(spare: DataFrame, heads: dict[int, Training], known: tuple[np.ndarray, np.ndarray], pseudo: int) -> None:
+    """Lets each view of each head label the unlabelled rows of which it is surest, for the head's other view. A task passes on its own surest alone, so what meets is bounded."""
+    spark = spare.sparkSession
+    slots = [(n, k, label, round(pseudo * (x.base if label else 1 - x.base))) for n, x in sorted(heads.items()) for k in (0, 1) for label in (1.0, 0.0) if x.trusted(k, label)]
+    if not slots:
+        return
+    told = spark.sparkContext.broadcast(({n: x.views for n, x in heads.items()}, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, own = told.value
+        held = {s: np.zeros(0, RANKED) for s in range(len(slots))}
         for batch in batches:
-            rows = _unpacked([batch[c].to_pylist() for c in "abcd"])
-            for n, k in slots:
-                p = _odds(told.value[n][k].margin(rows[k]))
-                sure = pa.array((p >= SURE) | (p <= 1 - SURE))
-                at = np.full(len(p), n * 2 + k, np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in FEATURES), pa.array(at), pa.array(p)], names=[*FEATURES, "slot", "p"]).filter(sure)
-
-    scored = written(spare.mapInArrow(run, "doc_id long, h long, a binary, b binary, c binary, d binary, slot int, p double"), "surest")
-    picks = []
-    for n, k in slots:
-        for label, share in ((1.0, heads[n].base), (0.0, 1 - heads[n].base)):
-            if not heads[n].trusted(k, label):
-                continue
-            own = scored.where((F.col("slot") == n * 2 + k) & (F.col("p") >= SURE if label else F.col("p") <= 1 - SURE))
-            order = F.desc("p") if label else F.asc("p")
-            picks.append(own.orderBy(order, "doc_id", "h").limit(round(pseudo * share)).withColumn("label", F.lit(label)))
-    for part in picks:
-        for r in part.collect():
-            rows = _unpacked([[r.a], [r.b], [r.c], [r.d]])
-            other = 1 - r.slot % 2
-            heads[r.slot // 2].extra[other][(r.doc_id, r.h)] = rows[other], r.label
+            rows = _unpacked([batch[c].to_pylist() for c in "abcd"], own)
+            margins: dict[tuple, np.ndarray] = {}
+            for s, (n, k, label, most) in enumerate(slots):
+                if (n, k) not in margins:
+                    margins[n, k] = _odds(views[n][k].margin(rows[k]))
+                off = 1 - margins[n, k] if label else margins[n, k]
+                at = np.flatnonzero(off <= 1 - SURE)
+                new = np.zeros(len(at), RANKED)
+                new["off"], new["h"] = off[at], np.asarray(batch["h"])[at]
+                new["null"], new["doc_id"] = np.asarray(batch["doc_id"].is_null())[at], np.asarray(pc.fill_null(batch["doc_id"], 0))[at]
+                held[s] = np.unique(np.concatenate([held[s], new]))[:most]  # sorted by off, then by key
+        for s, rows in held.items():
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), s, np.int32)), pa.array(rows["off"].copy()), pa.array(rows["doc_id"].copy(), mask=rows["null"] > 0), pa.array(rows["h"].copy())], names=["slot", "off", "doc_id", "h"])
+
+    surest = written(spare.mapInArrow(run, "slot int, off double, doc_id long, h long"), "surest")
+    picked: dict[tuple, list[int]] = {}
+    for s, (_, _, _, most) in enumerate(slots):
+        for r in surest.where(F.col("slot") == s).orderBy("off", "doc_id", "h").limit(most).collect():
+            picked.setdefault((r.doc_id, r.h), []).append(s)
+    wanted = spark.createDataFrame([(i, h) for i, h in picked], "_i long, _h long")
+    rows = spare.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc_id", "h"])
+    for r in rows.select(*_COLUMNS).toLocalIterator():
+        both = _unpacked([[r.a], [r.b], [r.c], [r.d]], known)
+        for s in picked.get((r.doc_id, r.h), ()):
+            n, k, label, _ = slots[s]
+            heads[n].extra[1 - k][(r.doc_id is None, r.doc_id or 0, r.h)] = both[1 - k], label
+
+
+RANKED = np.dtype([("off", "<f8"), ("null", "<i8"), ("doc_id", "<i8"), ("h", "<i8")])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pseudo: int = PSEUDO, rounds: int = ROUNDS, features: list | None = None) -> Model:
@@ -347,13 +388,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pseudo: int =
     able = {n: x for n, x in enumerate(heads) if x.able}
     for x in able.values():
         x.fit(400)
+    known = Model(tuple(Head(*x.views, x.prior) for x in heads)).known()
     if able or features is not None:
-        table = written(_features(seen, Model(tuple(Head(*x.views, x.prior) for x in heads)).known()), "features")
+        table = written(_features(seen, known), "features")
         if features is not None:
-            features.append(table)
+            features.append((table, known))
         spare = table.join(marked.select("doc_id"), "doc_id", "left_anti")
         for _ in range(rounds if able else 0):
-            _exchange(spare, able, pseudo)
+            _exchange(spare, able, known, pseudo)
             for x in able.values():
                 x.fit(80)
     return Model(tuple(x.head() for x in heads))
@@ -366,38 +408,36 @@ def _judged(doc_id: pa.Array, rows: tuple[Rows, Rows], model: Model, threshold:
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_text, p_meta, p, kept of every row of docs. Null and empty texts are scored as such; no rows give no rows."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    told = docs.sparkSession.sparkContext.broadcast((model, model.known()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in pieces(batches, "text"):
-            yield _judged(batch["doc_id"], views_of(batch, hashes), told.value, threshold)
+            yield _judged(batch["doc_id"], views_of(batch, told.value[1]), told.value[0], threshold)
 
     return _seen(docs).mapInArrow(run, SCORES)
 
 
-def score_features(features: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """What score() returns, from the features that fit() wrote."""
-    told = features.sparkSession.sparkContext.broadcast(model)
+def score_features(features: DataFrame, known: tuple[np.ndarray, np.ndarray], model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """What score() returns, from the features that fit() wrote and the features they stand for."""
+    told = features.sparkSession.sparkContext.broadcast((model, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _judged(batch["doc_id"], _unpacked([batch[c].to_pylist() for c in "abcd"]), told.value, threshold)
+            yield _judged(batch["doc_id"], _unpacked([batch[c].to_pylist() for c in "abcd"], told.value[1]), told.value[0], threshold)
 
     return features.mapInArrow(run, SCORES)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all columns, that the model accepts; columns that it reads may be missing or null."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    told = docs.sparkSession.sparkContext.broadcast((model, model.known()))
     kinds = {"doc_id": pa.int64(), "text": pa.string(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in pieces(batches, "text"):
             have = set(batch.schema.names)
             seen = {n: batch[n].cast(k) if n in have else pa.nulls(batch.num_rows, k) for n, k in kinds.items()}
-            kept = told.value.scores(*views_of(pa.RecordBatch.from_pydict(seen), hashes))[2] >= threshold
+            kept = told.value[0].scores(*views_of(pa.RecordBatch.from_pydict(seen), told.value[1]))[2] >= threshold
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
@@ -406,4 +446,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, features = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), features=features)
-    return score_features(features[0], model)
+    return score_features(*features[0], model)

@@ -29,6 +29,7 @@ from .common import pieces, written
 
 SAMPLE = 12_000
 PSEUDO = 400  # documents that a view labels in a round at most
+OVER = 8
 ROUNDS = 3
 SURE = 0.95
 LEAST_DOCS = 5  # documents of the sample that a word must occur in
@@ -323,9 +324,9 @@ def _seen(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), col("text", "string"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
-def _exchange(spare: DataFrame, heads: dict[int, Training], known: tuple[np.ndarray, np.ndarray], pseudo: int) -> None:
-    """Lets each view of each head label the unlabelled rows of which it is surest, for the head's other view. A task passes on its own surest alone, so what meets is bounded."""
-    spark = spare.sparkSession
+def _exchange(table: DataFrame, marked: DataFrame, heads: dict[int, Training], known: tuple[np.ndarray, np.ndarray], pseudo: int) -> None:
+    """Lets each view of each head label the unlabelled rows of which it is surest, for the head's other view. A task passes on its own surest alone (OVER times as many as are wanted, as labelled ones go), so what meets is bounded and few columns are joined."""
+    spark = table.sparkSession
     slots = [(n, k, label, round(pseudo * (x.base if label else 1 - x.base))) for n, x in sorted(heads.items()) for k in (0, 1) for label in (1.0, 0.0) if x.trusted(k, label)]
     if not slots:
         return
@@ -345,18 +346,19 @@ def _exchange(spare: DataFrame, heads: dict[int, Training], known: tuple[np.ndar
                 new = np.zeros(len(at), RANKED)
                 new["off"], new["h"] = off[at], np.asarray(batch["h"])[at]
                 new["null"], new["doc_id"] = np.asarray(batch["doc_id"].is_null())[at], np.asarray(pc.fill_null(batch["doc_id"], 0))[at]
-                held[s] = np.unique(np.concatenate([held[s], new]))[:most]  # sorted by off, then by key
+                held[s] = np.unique(np.concatenate([held[s], new]))[: OVER * most]  # sorted by off, then by key
         for s, rows in held.items():
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), s, np.int32)), pa.array(rows["off"].copy()), pa.array(rows["doc_id"].copy(), mask=rows["null"] > 0), pa.array(rows["h"].copy())], names=["slot", "off", "doc_id", "h"])
 
-    surest = written(spare.mapInArrow(run, "slot int, off double, doc_id long, h long"), "surest")
+    sure = table.mapInArrow(run, "slot int, off double, doc_id long, h long")
+    surest = written(sure.join(marked.select("doc_id"), "doc_id", "left_anti"), "surest")
     picked: dict[tuple, list[int]] = {}
     for s, (_, _, _, most) in enumerate(slots):
         for r in surest.where(F.col("slot") == s).orderBy("off", "doc_id", "h").limit(most).collect():
             picked.setdefault((r.doc_id, r.h), []).append(s)
     wanted = spark.createDataFrame([(i, h) for i, h in picked], "_i long, _h long")
-    rows = spare.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc_id", "h"])
+    rows = table.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc_id", "h"])
     for r in rows.select(*_COLUMNS).toLocalIterator():
         both = _unpacked([[r.a], [r.b], [r.c], [r.d]], known)
         for s in picked.get((r.doc_id, r.h), ()):
@@ -393,9 +395,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pseudo: int =
         table = written(_features(seen, known), "features")
         if features is not None:
             features.append((table, known))
-        spare = table.join(marked.select("doc_id"), "doc_id", "left_anti")
         for _ in range(rounds if able else 0):
-            _exchange(spare, able, known, pseudo)
+            _exchange(table, marked, able, known, pseudo)
             for x in able.values():
                 x.fit(80)
     return Model(tuple(x.head() for x in heads))

@@ -221,7 +221,7 @@ def normalize_numbers(text: Column) -> Column:
 
 
 def extract_tail(text: Column) -> Column:
-    """Struct of house_no, building, unit, room, floor and geo_text: each field takes the first match that no earlier field has claimed; geo_text is what is left."""
+    """Struct of house_no, building, unit, room, floor, geo_text and spans (s, e, field): each field takes the first match that no earlier field has claimed; geo_text is what is left."""
     names = list(dict.fromkeys(n for n, _ in TAIL))
 
     def claim(state: Column, step: Column) -> Column:
@@ -231,13 +231,14 @@ def extract_tail(text: Column) -> Column:
             at = F.regexp_instr(state["rest"], step["pattern"])
             cut = F.concat(F.substring(state["rest"], F.lit(1), at - 1), F.repeat(F.lit(GONE), F.length(h)), F.substring(state["rest"], at + F.length(h), F.length(state["rest"])))
             found = F.transform_values(state["found"], lambda k, v: F.when(k == step["name"], h).otherwise(v))
-            return F.when(h == "", state).otherwise(F.struct(cut.alias("rest"), found.alias("found")))
+            span = F.struct((at - 1).alias("s"), (at - 1 + F.length(h)).alias("e"), step["name"].alias("field"))
+            return F.when(h == "", state).otherwise(F.struct(cut.alias("rest"), found.alias("found"), F.concat(state["spans"], F.array(span)).alias("spans")))
 
         return let(hit, claimed)
 
     steps = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in TAIL])
-    start = F.struct(text.alias("rest"), F.create_map(*[F.lit(x) for n in names for x in (n, "")]).alias("found"))
-    end = lambda e: F.struct(*[F.element_at(e["found"], n).alias(n) for n in names], F.replace(e["rest"], F.lit(GONE), F.lit("")).alias("geo_text"))
+    start = F.struct(text.alias("rest"), F.create_map(*[F.lit(x) for n in names for x in (n, "")]).alias("found"), F.array().cast("array<struct<s:int,e:int,field:string>>").alias("spans"))
+    end = lambda e: F.struct(*[F.element_at(e["found"], n).alias(n) for n in names], F.replace(e["rest"], F.lit(GONE), F.lit("")).alias("geo_text"), F.array_sort(e["spans"]).alias("spans"))
     return let(F.aggregate(steps, start, claim), end)
 
 
@@ -253,14 +254,57 @@ def context_lines(names: Column, most: int = 200) -> Column:
 
 def parse_reply(raw: Column) -> Column:
     """Struct of language and text of a recogniser's reply: 'language X<asr_text>text', 'language: X text: text' or bare text."""
-    tagged, spelled = r"(?s)^\s*language\s+(.*?)\s*<asr_text>(.*)$", r"(?is)^\s*language\s*:\s*([^\n]*?)\s*\n\s*text\s*:\s*(.*)$"
+    tagged, spelled = r"(?s)^\s*language\s+(.*?)\s*<\|?asr_text\|?>(.*)$", r"(?is)^\s*language\s*[:：]\s*([^\n]*?)\s*\n\s*text\s*[:：]\s*(.*)$"
     pick = lambda k, bare: F.when(raw.rlike(tagged), F.regexp_extract(raw, tagged, k)).when(raw.rlike(spelled), F.regexp_extract(raw, spelled, k)).otherwise(bare)
     language = F.trim(pick(1, F.lit("")))
     return F.struct(F.when(language != "", language).alias("language"), F.trim(pick(2, raw)).alias("text"))
 
 
+def substitutions(text: Column, rules: Iterable[Rule] = LEXICON, variants: dict[str, str] | None = None) -> Column:
+    """The log of rewrite(): array of (src, dst, pos, category, n) in the order of application; pos is the first place in the text as rewritten so far, n how often the word stood there."""
+    ordered = [(r[0], r[1], r[3]) for r in sorted(rules, key=lambda r: -len(r[0]))] + [(a, b, "variant") for a, b in (VARIANTS if variants is None else variants).items()]
+    steps = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.lit(c).alias("category")) for a, b, c in ordered])
+
+    def step(state: Column, rule: Column) -> Column:
+        at = F.call_function("instr", state["rest"], rule["src"])
+        n = ((F.length(state["rest"]) - F.length(F.replace(state["rest"], rule["src"], F.lit("")))) / F.length(rule["src"])).cast("int")
+        entry = F.struct(rule["src"].alias("src"), rule["dst"].alias("dst"), (at - 1).alias("pos"), rule["category"].alias("category"), n.alias("n"))
+        grown = F.struct(F.replace(state["rest"], rule["src"], rule["dst"]).alias("rest"), F.concat(state["log"], F.array(entry)).alias("log"))
+        return F.when(at > 0, grown).otherwise(state)
+
+    start = F.struct(text.alias("rest"), F.array().cast("array<struct<src:string,dst:string,pos:int,category:string,n:int>>").alias("log"))
+    return F.aggregate(steps, start, step, lambda s: s["log"])
+
+
+def substitutions_text(log: Column) -> Column:
+    """A log of substitutions as one line for people."""
+    return F.array_join(F.transform(log, lambda x: F.concat(x["src"], F.lit("→"), F.when(x["dst"] == "", "∅").otherwise(x["dst"]), F.lit(" ("), x["category"], F.lit(")"))), "; ")
+
+
+def tail_text(tail: Column) -> Column:
+    """The fields of extract_tail for people: 'field=value' for each that isn't empty, then the place part."""
+    names = [*dict.fromkeys(n for n, _ in TAIL), "geo_text"]
+    return F.array_join(F.filter(F.array(*[F.when(tail[n] != "", F.concat(F.lit(f"{n}="), tail[n])) for n in names]), lambda x: x.isNotNull()), " ")
+
+
+#: Level suffixes that a short form of an administrative name drops, the first that fits.
+LEVEL_SUFFIXES = ("特别行政区", "地区", "林区", "新区", "省", "市", "区", "县", "盟", "旗")
+#: Suffixes that a short form of a road's or a landmark's name drops, the first that fits.
+PLACE_SUFFIXES = ("街道", "步行街", "古镇", "国际机场", "广场", "大道", "路", "街")
+
+
+def _shortened(name: Column, suffixes: tuple[str, ...], least: int) -> Column:
+    """name without the first suffix in order that fits and leaves least characters; null if none does."""
+    return reduce(lambda out, x: out.when(name.endswith(x) & (F.length(name) - len(x) >= least), F.substring(name, F.lit(1), F.length(name) - len(x))), suffixes, F.when(F.lit(False), F.lit("")))
+
+
 def aliases(name: Column) -> Column:
-    """Short forms of an administrative name: without an ethnic infix and without its level suffix, two characters at least."""
-    stem = F.regexp_replace(name, r"(?:[一-鿿]{1,4}族)+自治(区|州|县|旗)$", "")
-    short = F.regexp_replace(name, r"(特别行政区|自治区|自治州|自治县|自治旗|地区|林区|省|市|区|县|盟|旗)$", "")
-    return F.array_distinct(F.filter(F.array(stem, short), lambda x: (F.length(x) >= 2) & (x != name)))
+    """Short forms of an administrative name, sorted: what stands before an ethnic name and 自治区, 自治州, 自治县 or 自治旗, and the name without its level suffix; two characters at least."""
+    stem = F.regexp_extract(name, r"^(.{2,}?)(?:[一-鿿]{1,4}族)?(?:自治区|自治州|自治县|自治旗)$", 1)
+    forms = F.array(F.when(stem != "", stem), _shortened(name, LEVEL_SUFFIXES, 2))
+    return F.array_sort(F.array_distinct(F.filter(forms, lambda x: x.isNotNull() & (F.length(x) >= 2) & (x != name))))
+
+
+def road_aliases(name: Column, told: Column) -> Column:
+    """The told short forms of a road or landmark and its name without a suffix where three characters are left, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.concat(told, F.array(_shortened(name, PLACE_SUFFIXES, 3))), lambda x: x.isNotNull())))

@@ -60,13 +60,15 @@ def test_near_stage_matches_brute_force(spark):
 def test_chains_across_a_tile_are_found(spark, monkeypatch):
     # All rows within reach: rows that aren't similar to their first partner must still meet the others.
     monkeypatch.setattr(simhash, "REACH", 128)
+    monkeypatch.setattr(simhash, "FULL", 256)
     rows = [x for x in near_corpus() if x[0] < 300 or x[0] > 4960]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows)
 
 
 def test_several_tiles_to_a_class(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 7)
+    monkeypatch.setattr(simhash, "TILE_ROWS", 7)
+    monkeypatch.setattr(simhash, "TILE_BYTES", 20_000)
     rows = near_corpus()
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(5), "")
     assert sorted(map(tuple, got.collect()), key=repr) == brute_force(rows)

@@ -19,10 +19,12 @@ _PATHS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where all is one process, one of our own if it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="veldspar-")
@@ -56,7 +58,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing will read any more."""
+    for table in tables:
+        remove_path(table.sparkSession, table.path)
 
 
 def text_of(column: str = "text"):
@@ -86,7 +96,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (node, component), component the least node of each.
 
     Alternating large-star and small-star rounds. A node's neighbours are only ever aggregated by min, so that a
-    node with many links is combined map-side and never gathered. Each round's links are written to the shared folder.
+    node with many links is combined map-side and never gathered. Each round's links are written to the shared folder, in
+    place of those of the round before. A chain of n nodes takes about log2(n) rounds, so most_rounds is beyond any table.
     """
     spark = links.sparkSession
     now = written(
@@ -110,7 +121,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         after = written(small, "links")
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        sums = [df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head() for df in (now, after)]
+        dropped(now)
+        if sums[0] == sums[1]:  # both are sets of links: equal counts and sums of hashes
             break
         now = after
     else:

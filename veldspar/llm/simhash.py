@@ -6,10 +6,9 @@ differences, so only tile pairs within that distance are compared (numpy exclusi
 skipped. A fingerprint is sent to a fixed number of tiles, whatever the size of the input. A pair of tiles yields a
 spanning forest of its links, never all pairs.
 
-similar_rows finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: fingerprints of 128
-bits are compared in tiles at a wide radius, tile pairs of sizes too far apart are skipped, and each pair found is
-verified on the whole sets. A tile pair names one partner of each row first; only rows that these links leave in
-different components are paired in full.
+similar_rows finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: fingerprints of 256
+bits are compared in tiles at a wide radius, sizes too far apart are skipped, and each pair found is verified on the
+whole sets in the task that compares the tile, which passes on a forest of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +31,10 @@ QUARTERS = 4
 TILE = 4096  # fingerprints to a tile; a fuller cell makes several tiles
 SHINGLE = 5
 SHARE = (4, 5)  # the least similarity as a fraction, so that it is compared in whole numbers
-REACH = 40  # differing bits of 128; sets at 0.8 differ in 19.4 on the average with a deviation of 4.1, unrelated ones in 64
-SKETCH = np.dtype([("row", "<i8"), ("part", "<i8"), ("n", "<i8"), ("f", "<u8"), ("g", "<u8")])
+WORDS = 4  # 64-bit words of a wide fingerprint
+#: Differing bits of the first half and of all bits; sets at 0.8 differ in 15 % of the bits (a deviation of 4.1 of 128, of 5.7 of 256), unrelated ones in half. Sets of fewer than SMALL shingles differ more unevenly and are verified by the first half alone.
+REACH, FULL, SMALL = 40, 62, 16
+TILE_ROWS, TILE_BYTES = 16_384, 32 << 20  # of sketches, and of sets, that a task holds
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -166,11 +167,14 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(own: np.ndarray) -> tuple[int, int]:
-    """128 majority bits of a set of shingle hashes: of the hashes and of a mix of them."""
-    mixed = own * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return _majority(own), _majority(mixed ^ (mixed >> np.uint64(32)))
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """WORDS times 64 majority bits of a set of shingle hashes, each of another mix of them."""
+    out = []
+    for k in range(WORDS):
+        x = own * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(_majority(x ^ (x >> np.uint64(32))))
+    return np.array(out, np.uint64)
 
 
 def _by_set(rows: DataFrame, function, schema: str) -> DataFrame:
@@ -184,93 +188,122 @@ def _by_set(rows: DataFrame, function, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _sketches(rows: DataFrame) -> DataFrame:
-    """(row, n, f, g): the size of each row's set and both halves of its fingerprint."""
-
-    def sketch(sets: list[np.ndarray]) -> list[pa.Array]:
-        halves = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
-        return [pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+def _sketched(sets: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([len(x) for x in sets], pa.int64()), pa.array([wide_fingerprint(x).tobytes() for x in sets], pa.binary())]
 
-    return _by_set(rows, sketch, "row long, n long, f long, g long")
 
-
-def _sets(rows: DataFrame) -> DataFrame:
-    """(row, own): each row's set of shingles."""
-    return _by_set(rows, lambda sets: [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], "row long, own array<long>")
+def _sketches(rows: DataFrame) -> DataFrame:
+    """(row, n, sketch): the size of each row's set and its fingerprint."""
+    return _by_set(rows, _sketched, "row long, n long, sketch binary")
 
 
-def _partners(x: np.ndarray, y: np.ndarray, same: bool, full: bool) -> np.ndarray:
-    """Rows (place in x, place in y) of sketches within REACH whose sizes fit: full names all of different parts, else one for each of x and of y."""
-    out = []
-    met = np.zeros(len(y), bool)
-    step = max(1, (1 << 19) // max(1, len(y)))
-    for k in range(0, len(x), step):
-        own = x[k : k + step]
-        near = np.bitwise_count(own["f"][:, None] ^ y["f"]) + np.bitwise_count(own["g"][:, None] ^ y["g"]) <= REACH
-        if same:
-            near[np.arange(len(own)), k + np.arange(len(own))] = False
-        if not near.any():
-            continue
-        least, most = np.minimum(own["n"][:, None], y["n"]), np.maximum(own["n"][:, None], y["n"])
-        near &= least * SHARE[1] >= most * SHARE[0]
-        if full:
-            near &= own["part"][:, None] != y["part"]
-            a, b = np.nonzero(near)
-            out.append(np.stack([a + k, b], axis=1))
-            continue
-        a = np.flatnonzero(near.any(axis=1))
-        out.append(np.stack([a + k, near[a].argmax(axis=1)], axis=1))
-        b = np.flatnonzero(near.any(axis=0) & ~met)
-        met[b] = True
-        out.append(np.stack([near[:, b].argmax(axis=0) + k, b], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+def _with_sets(rows: DataFrame) -> DataFrame:
+    """(row, n, sketch, own): also the set."""
+    return _by_set(rows, lambda sets: [*_sketched(sets), pa.array([x.tobytes() for x in sets], pa.binary())], "row long, n long, sketch binary, own binary")
 
 
-def _candidates(sketches: DataFrame, full: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (row, part, n, f, g) that tiles find.
+def _met(rows: DataFrame, weight, most: int) -> DataFrame:
+    """rows (n and more) dealt to tiles: c, t, side and the row's columns. Of a tile's task, rows of side 0 are its own, rows of side 1 are all others that they must meet.
 
-    Sizes fall in classes of a ratio of SHARE, so that similar sets are in one class or two neighbouring ones; a class
-    is dealt to tiles of about TILE rows, and only tiles of the same and the next class meet.
+    Sizes fall in classes of a ratio of SHARE, so that similar sets are in one class or two neighbouring ones. A class is
+    dealt to tiles of about most weight; a tile meets the later tiles of its class and all of the next.
     """
     ratio = float(np.log(SHARE[1] / SHARE[0]))
-    classed = sketches.withColumn("c", F.floor(F.log("n") / ratio + 1e-9).cast("int"))
-    sizes = {r.c: -(-r["count"] // TILE) for r in classed.groupBy("c").count().collect()}  # a hundred classes at most
-    if not sizes:
-        return sketches.sparkSession.createDataFrame([], "a long, b long")
-    told = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    tiles = lambda c: F.coalesce(F.element_at(told, c), F.lit(0))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
-        for batch in batches:
-            rows = np.zeros(batch.num_rows, SKETCH)
-            for name in SKETCH.names:
-                rows[name] = np.asarray(batch[name], dtype=np.int64).view(SKETCH[name])
-            place = np.asarray(batch["c"], dtype=np.int64) << 32 | np.asarray(batch["t"], dtype=np.int64)
-            for key in np.unique(place).tolist():
-                held.setdefault((key >> 32, key & 0xFFFFFFFF), []).append(rows[place == key])
-        for (c, t), parts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([t], pa.int32()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["c", "t", "blob"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, t, c2, t2, x, y in zip(*(batch[k].to_pylist() for k in ("c", "t", "c2", "t2")), batch["blob"], batch["other"]):
-                one, two = np.frombuffer(x.as_buffer(), SKETCH), np.frombuffer(y.as_buffer(), SKETCH)
-                found = _partners(one, two, (c, t) == (c2, t2), full)
-                a, b = one["row"][found[:, 0]], two["row"][found[:, 1]]
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                for k in range(0, len(pair), 1 << 16):
-                    part = pair[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
-
-    dealt = classed.withColumn("t", F.pmod(F.xxhash64("row"), tiles(F.col("c"))).cast("int")).repartition("c", "t")
-    tiled = written(dealt.select("c", "t", *SKETCH.names).mapInArrow(pack, "c int, t int, blob binary"), "tiles")
-    own = F.transform(F.sequence("t", tiles(F.col("c")) - 1), lambda k: F.struct(F.col("c").alias("c2"), k.cast("int").alias("t2")))
-    after = tiles(F.col("c") + 1)
-    other = F.when(after > 0, F.transform(F.sequence(F.lit(0), after - 1), lambda k: F.struct((F.col("c") + 1).alias("c2"), k.cast("int").alias("t2")))).otherwise(F.array())
-    spread = tiled.select("c", "t", "blob", F.explode(F.concat(own, other)).alias("to")).select("c", "t", "blob", "to.c2", "to.t2")
-    pairs = spread.join(tiled.select(F.col("c").alias("c2"), F.col("t").alias("t2"), F.col("blob").alias("other")).hint("shuffle_hash"), ["c2", "t2"])
-    return pairs.mapInArrow(compare, "a long, b long").distinct()
+    columns = rows.columns
+    classed = rows.withColumn("_c", F.floor(F.log("n") / ratio + 1e-9).cast("int"))
+    sizes = {r["_c"]: max(1, -(-int(r.w) // most)) for r in classed.groupBy("_c").agg(F.sum(weight).alias("w")).collect()}  # a hundred classes at most
+    told = F.create_map(*[F.lit(x) for pair in (sizes or {0: 1}).items() for x in pair])
+    tiles = lambda c: F.coalesce(F.try_element_at(told, c), F.lit(0))
+    place = classed.withColumn("_t", F.pmod(F.xxhash64("row"), tiles(F.col("_c"))).cast("int"))
+    spot = lambda c, t, side: F.struct(c.alias("c"), t.cast("int").alias("t"), F.lit(side).alias("side"))
+    every = lambda c, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: spot(c, k, 1))).otherwise(F.array().cast("array<struct<c:int,t:int,side:int>>"))
+    goes = F.concat(F.array(spot(F.col("_c"), F.col("_t"), 0)), every(F.col("_c"), F.col("_t")), every(F.col("_c") - 1, tiles(F.col("_c") - 1)))
+    spread = place.select(F.explode(goes).alias("_p"), *columns).select("_p.c", "_p.t", "_p.side", *columns)
+    return spread.repartition("c", "t").sortWithinPartitions("c", "t", "side", "row")
+
+
+class Sketches:
+    """Rows of a tile as arrays."""
+
+    def __init__(self, row: np.ndarray, n: np.ndarray, bits: np.ndarray, own: list[np.ndarray] | None):
+        self.row, self.n, self.bits, self.own = row, n, bits, own
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Sketches:
+        bits = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint64).reshape(-1, WORDS)
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["own"]] if "own" in batch.schema.names else None
+        return cls(np.asarray(batch["row"], np.int64), np.asarray(batch["n"], np.int64), bits, own)
+
+    @classmethod
+    def joined(cls, parts: list[Sketches]) -> Sketches:
+        own = None if parts[0].own is None else [x for p in parts for x in p.own]
+        return cls(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("row", "n", "bits")), own)
+
+    def near(self, other: Sketches, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in self and in other of pairs within reach whose sizes fit; each pair once."""
+        step = max(1, (1 << 19) // max(1, len(other.row)))
+        half = WORDS // 2
+        for k in range(0, len(self.row), step):
+            mine = self.bits[k : k + step]
+            off = sum(np.bitwise_count(mine[:, w, None] ^ other.bits[:, w]) for w in range(half))
+            a, b = np.nonzero(off <= REACH)
+            a += k
+            if same:
+                a, b = a[a < b], b[a < b]
+            if not len(a):
+                continue
+            least, most = np.minimum(self.n[a], other.n[b]), np.maximum(self.n[a], other.n[b])
+            fits = least * SHARE[1] >= most * SHARE[0]
+            a, b, least = a[fits], b[fits], least[fits]
+            full = np.bitwise_count(self.bits[a] ^ other.bits[b]).sum(axis=1)
+            close = (full <= FULL) | (least < SMALL)
+            yield a[close], b[close]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], Sketches]]:
+    """((c, t, side), rows) in the order in which they come."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch[k], np.int64) for k in ("c", "t", "side")], axis=1)
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+            yield tuple(key[a].tolist()), Sketches.of(batch.slice(a, b - a))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Sketches, Sketches, bool]]:
+    """(tile, rows that it meets, whether these are the tile itself)."""
+    last, held, tile = None, [], None
+    for (c, t, side), rows in _streamed(batches):
+        if side == 0:
+            if (c, t) != last:
+                if held:
+                    tile = Sketches.joined(held)
+                    yield tile, tile, True
+                last, held = (c, t), []
+            held.append(rows)
+            continue
+        if (c, t) != last:  # a tile without rows of its own meets nothing
+            if held:
+                tile = Sketches.joined(held)
+                yield tile, tile, True
+            last, held, tile = (c, t), [], None
+        if held:
+            tile, held = Sketches.joined(held), []
+            yield tile, tile, True
+        if tile is not None:
+            yield tile, rows, False
+    if held:
+        tile = Sketches.joined(held)
+        yield tile, tile, True
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of SHARE or more."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared * SHARE[1] >= (len(both) - shared) * SHARE[0]
 
 
 def similar_rows(rows: DataFrame) -> DataFrame:
@@ -281,23 +314,47 @@ def similar_rows(rows: DataFrame) -> DataFrame:
     No rows give no rows.
     """
     rows = rows.select("row", text_of().alias("text"))
-    sketches = written(_sketches(rows), "sketches")
-    first = written(_candidates(sketches.withColumn("part", F.lit(0).cast("long")), False), "met")
-    involved = written(first.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "involved")
-    sets = written(_sets(rows.join(involved, "row", "left_semi")), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        own = sets.select(F.col("row").alias("a"), F.col("own").alias("x"))
-        other = sets.select(F.col("row").alias("b"), F.col("own").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(own, "a").join(other, "b").where(both * SHARE[1] >= (F.size("x") + F.size("y") - both) * SHARE[0]).select("a", "b")
-
-    links = written(verified(first), "near")
-    part = written(components(links), "parts")
-    placed = sketches.join(involved, "row", "left_semi").join(part, F.col("row") == F.col("node"), "left").select("row", F.coalesce("component", "row").alias("part"), "n", "f", "g")
-    across = _candidates(placed, True).join(first, ["a", "b"], "left_anti")
-    more = written(verified(across), "near")
-    return part if more.isEmpty() else components(links.union(more))
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with any partner within reach."""
+        for tile, other, same in _tiles(batches):
+            mine, theirs = np.zeros(len(tile.row), bool), np.zeros(len(other.row), bool)
+            for a, b in tile.near(other, same):
+                mine[a] = theirs[b] = True
+            found = np.concatenate([tile.row[mine], other.row[theirs]])
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["row"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A forest of verified pairs of each tile with what it meets."""
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = top.get(up, up)
+                x = up
+            return x
+
+        last = None
+        for tile, other, same in _tiles(batches):
+            if tile is not last:
+                top.clear()
+                last = tile
+            links = []
+            for at_a, at_b in tile.near(other, same):
+                for i, j in zip(at_a.tolist(), at_b.tolist()):
+                    a, b = int(tile.row[i]), int(other.row[j])
+                    if (x := find(a)) != (y := find(b)) and similar(tile.own[i], other.own[j]):
+                        top[x] = y
+                        links.append((a, b))
+            if links:
+                ends = np.array(links, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
+
+    sketches = _sketches(rows)
+    some = written(_met(written(sketches, "sketches"), F.lit(1), TILE_ROWS).mapInArrow(involved, "row long").distinct(), "involved")
+    sets = written(_with_sets(rows.join(some, "row", "left_semi")), "sets")
+    return components(written(_met(sets, 8 * F.col("n") + 100, TILE_BYTES).mapInArrow(linked, "a long, b long"), "near"))
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:

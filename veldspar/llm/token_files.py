@@ -32,9 +32,9 @@ from .common import pieces, text_of, work_path
 from .files import Pending, whole
 
 MAGIC = b"VSREPAIR"
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 LEAST = 4  # occurrences of a pair that is worth a rule
-MEMO_BYTES = 64 << 20  # of remembered pieces and of stretches; they are forgotten with the stage
+MEMO_BYTES = 72 << 20  # of remembered pieces and of stretches; they are forgotten with the stage
 MANIFEST = "file string, part int, roll int, documents long, ids long"
 TABLE = "doc_id long, n_tokens long, ids_crc32 long"
 
@@ -50,10 +50,12 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, top: int, least: int =
     inner = np.ones(len(seq), bool)  # whether a pair may start here
     inner[ends[ends > 0] - 1] = False
     rules: list[np.ndarray] = []
-    room, shift = top - base, np.uint64(32) if top > 1 << 16 else np.uint32(16)
+    room, shift = top - base - 1, np.uint64(32) if top > 1 << 16 else np.uint32(16)
     while room > 0 and len(seq) > 1:
-        pair = seq[:-1].astype(np.uint64) << shift | seq[1:] if shift == 32 else seq[:-1] << shift | seq[1:]
-        kinds = np.sort(pair[inner[:-1]])
+        pair = (seq[:-1].astype(np.uint64) if shift == 32 else seq[:-1]) << shift | seq[1:]
+        pair[~inner[:-1]] = none = np.iinfo(pair.dtype).max  # no pair: ids stay below the last
+        kinds = np.sort(pair)
+        kinds = kinds[: np.searchsorted(kinds, none)]
         if not len(kinds):
             break
         first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
@@ -72,7 +74,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, top: int, least: int =
         table = np.full(1 << 18, -1, np.int32)
         table[spot] = np.arange(len(chosen), dtype=np.int32)
         rule = table[_spot(pair)]
-        hit = np.flatnonzero((rule >= 0) & inner[:-1])
+        hit = np.flatnonzero(rule >= 0)
         hit = hit[chosen[rule[hit]] == pair[hit]]
         run = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
         start = hit[np.flatnonzero(run)][np.cumsum(run) - 1]
@@ -244,7 +246,10 @@ class Encoder:
         self.marks = [x["content"] for x in told.get("added_tokens", [])]
         self.model = self.library.model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.pieces, self.stretches = Memo(self._piece), Memo(self._stretch)
+        self.forget(None)
+
+    def forget(self, stage: int | None) -> None:
+        self.stage, self.pieces, self.stretches = stage, Memo(self._piece), Memo(self._stretch)
 
     def pack(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
@@ -262,15 +267,17 @@ class Encoder:
         return b"".join(map(self.stretches.__getitem__, text.encode().split()))
 
 
-_READY: dict[tuple[int, int], Encoder] = {}
+_READY: dict[int, Encoder] = {}
 
 
 def _encoder(definition: str) -> Encoder:
-    """A worker's encoder for the tasks of one stage; that of another stage goes, and what it remembers with it."""
-    key = hash(definition), TaskContext.get().stageId()
+    """A worker's encoder; what it remembers goes when another stage begins."""
+    key, stage = hash(definition), TaskContext.get().stageId()
     if key not in _READY:
         _READY.clear()
         _READY[key] = Encoder(definition)
+    if _READY[key].stage != stage:
+        _READY[key].forget(stage)
     return _READY[key]
 
 

@@ -49,8 +49,35 @@ def test_search_finds_the_telling_weight(spark):
     assert j == 0 and abs(sum(point[n] for n in search.SIMPLEX) - 1) < 1e-9
     flat, _ = search.coordinate_descent(df, {"W_CONFLICT": [0.0, 0.5]}, PARAMS, sweeps=1)
     assert flat["W_CONFLICT"] == PARAMS["W_CONFLICT"]
-    assert search.verdict({"fa": 1, "J": 0.5}, {"fa": 2, "J": 0.1}, True) == "REJECTED"
-    assert search.verdict({"fa": 1, "J": 0.5}, {"fa": 1, "J": 0.1}, False) == "REPORT_ONLY"
+    good = dict.fromkeys(("eval_em_not_lower", "eval_risk_not_higher", "oov_fa_not_higher", "no_address_fa_not_higher", "no_slice_loses_tp", "sample_gate"), True)
+    assert search.verdict(good) == "REPORT_ONLY" and search.verdict(good, True, True) == "APPLICABLE" and search.verdict(good, True, False) == "REJECTED"
+    assert search.verdict(good | {"sample_gate": False}, True, True) == "REPORT_ONLY" and search.verdict(good | {"oov_fa_not_higher": False}, True, True) == "REJECTED"
+
+
+def test_search_from_many_starts(spark):
+    df = features(spark)
+    bounds = {"W_SIM": (0.0, 1.0), "W_COV": (0.0, 1.0), "W_PRIOR": (0.0, 1.0), "W_DEPTH": (0.0, 1.0), "MARGIN_MIN": (0.0, 0.1), "SIM_MIN": (0.5, 0.7)}
+    begin = search.starts(PARAMS, bounds, 4, 1)
+    assert begin == search.starts(PARAMS, bounds, 4, 1) and all(abs(sum(p[n] for n in search.SIMPLEX) - 1) < 1e-9 for p in begin)
+    hand = {**PARAMS, "W_SIM": 0.1, "W_COV": 0.1, "W_PRIOR": 0.7, "W_DEPTH": 0.1}
+    got = search.search(df, hand, bounds, search.search_grid(bounds, 3, 0.1), restarts=4, seed=1, sweeps=2)
+    assert got["best_J"] == 0 and got["n_starts"] == 4 and 1 <= len(got["top_optima"]) <= 4
+    assert len({tuple(o["params"].items()) for o in got["top_optima"]}) == len(got["top_optima"])
+    flat = {r.key: r for r in search.flatness(df, got["best"], {"W_CONFLICT": [0.0, 0.25, 0.5]}).groupBy("key").agg(F.countDistinct("value").alias("n"), F.count_if("here").alias("here")).collect()}
+    assert flat["W_CONFLICT"].n == 1 and flat["W_CONFLICT"].here == 1
+
+
+def test_slices_and_constraints(spark):
+    df = features(spark)
+    items = df.select("id").distinct().select("id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("side"), F.lit(None).cast("string").alias("rule"), F.when(F.col("id") < 5, "oov_db").alias("negative_type"), (F.col("id") != 7).alias("has_address"))
+    bad = {**PARAMS, "W_COV": 0.0, "W_PRIOR": 0.6}
+    rows = {(r.axis, r.value): r for r in search.slice_deltas(df, items, PARAMS, bad, ("side", "rule")).collect()}
+    assert set(rows) == {("side", "even"), ("side", "odd")} and all(r.n == 40 and r.delta_tp == r.tp_after - r.tp_before <= 0 for r in rows.values())
+    both = {r.candidate: r.asDict() for r in search.metrics(df, search.as_candidates(spark, [PARAMS, bad]), items=items).collect()}
+    assert both[0]["n"] == 80 and both[1]["oov_fa"] >= both[0]["oov_fa"] and both[0]["em_proxy"] == 1.0
+    met = search.constraints(both[0], both[1], search.slice_deltas(df, items, PARAMS, bad, ("side",)), True)
+    assert not met["eval_em_not_lower"] and met["sample_gate"] and len(met) == 6
+    assert search.selected(df, items, side="even", rule=None).select("id").distinct().count() == 40
 
 
 def test_perturbations_are_replayable_and_steady(spark):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,6 +255,28 @@ def syllable_cost(costs: DataFrame):
     return lambda x, y: F.when(x["raw"] == y["raw"], 0.0).otherwise(W_INITIAL * part("initial", x["ini"], y["ini"]) + W_FINAL * part("final", x["fin"], y["fin"]))
 
 
+def read_aloud(rows: DataFrame, readings: DataFrame, text: str, out: str) -> DataFrame:
+    """rows with the syllables (ini, fin, raw) of each character of a text column. readings: ch, raw, a table bounded by a script, which goes to the executors; of several readings the first by ord; an unknown character reads as itself, null as nothing."""
+    ordered = readings.orderBy("ord") if "ord" in readings.columns else readings
+    told: dict[str, dict] = {}
+    for r in ordered.select("ch", split_syllable(F.col("raw")).alias("s")).toLocalIterator():
+        told.setdefault(r.ch, r.s.asDict())
+    sent = rows.sparkSession.sparkContext.broadcast(told)
+    kind = pa.list_(pa.struct([("ini", pa.string()), ("fin", pa.string()), ("raw", pa.string())]))
+
+    def own(c: str) -> dict:
+        first = next((i for i in INITIALS["mandarin"] if c.startswith(i) and len(c) > len(i)), "")
+        return {"ini": first, "fin": c[len(first) :], "raw": c}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            made = [[known.get(c) or own(c) for c in x or ""] for x in batch[text].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, out])
+
+    return rows.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, `{out}` array<struct<ini:string,fin:string,raw:string>>")
+
+
 class Costs:
     """Weighted confusion costs of syllables as numpy tables: phonemes are numbered, unknown pairs cost 1."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import decide, quadrant
+from .ranking import PARAMS, quadrant
 
 
 def cer(hyp: Column, ref: Column) -> Column:
@@ -18,20 +18,22 @@ def cer(hyp: Column, ref: Column) -> Column:
     return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(hyp, ref) / F.length(ref))
 
 
-def sliced(rows: DataFrame, axes: dict[str, Column], metrics: dict[str, Column]) -> DataFrame:
-    """axis, value, n and for each boolean metric k and n (rows where it isn't null), over all rows and each value of each axis.
+def sliced(rows: DataFrame, axes: dict[str, Column], metrics: dict[str, Column], extra: list[Column] | None = None) -> DataFrame:
+    """axis, value, n and for each boolean metric k and n (rows where it isn't null), over all rows and each value of each axis; extra: more aggregates, over columns of rows.
 
     An axis is a column of strings (null: "null") or of arrays (a row counts in each element). One pass: the axes are
     unpivoted before one aggregation, whose partial sums are as few as there are values.
     """
-    kinds = dict(rows.select(*[c.alias(a) for a, c in axes.items()]).dtypes)
+    kinds = dict(rows.select(*[c.alias(a) for a, c in axes.items()]).dtypes) if axes else {}
     value = lambda a, c: F.coalesce(c, F.array()) if kinds[a].startswith("array") else F.array(F.coalesce(c.cast("string"), F.lit("null")))
     cell = lambda a: lambda v: F.struct(F.lit(a).alias("axis"), v.cast("string").alias("value"))
     each = [F.transform(value(a, c), cell(a)) for a, c in axes.items()]
     cells = F.concat(F.array(F.struct(F.lit("all").alias("axis"), F.lit("all").alias("value"))), *each)
-    flat = rows.select(F.explode(cells).alias("_c"), *[m.alias(k) for k, m in metrics.items()])
+    flat = rows.select("*", F.explode(cells).alias("_c")) if extra else rows.select(F.explode(cells).alias("_c"), *[m.alias(k) for k, m in metrics.items()])
+    if extra:
+        flat = flat.withColumns(metrics)
     aggs = [x for k in metrics for x in (F.count_if(F.col(k)).alias(f"{k}_k"), F.count(k).alias(f"{k}_n"))]
-    return flat.groupBy("_c.axis", "_c.value").agg(F.count("*").alias("n"), *aggs)
+    return flat.groupBy("_c.axis", "_c.value").agg(F.count("*").alias("n"), *aggs, *(extra or []))
 
 
 def quadrants(rows: DataFrame, keys: list[str], q: Column) -> DataFrame:
@@ -41,14 +43,32 @@ def quadrants(rows: DataFrame, keys: list[str], q: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(tp.alias("tp"), fa.alias("fa"), fr.alias("fr"), tr.alias("tr"), share(tp + fa, F.count("*")).alias("coverage"), share(fa, tp + fa).alias("risk"), share(fr, tp + fr).alias("over_reject"))
 
 
-def grid_scan(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """Quadrants at each grid point (margin_min, sim_min) of rows (sim, coverage, single_dist, deep, margin, has_second, admin_differs, ok).
+def grid_scan(rows: DataFrame, grid: DataFrame, current: tuple[float, float] | None = None) -> DataFrame:
+    """Quadrants at each grid point (margin_min, sim_min) of rows (sim, coverage, single_dist, deep, margin, has_second, admin_differs, ok), and at a current point off the grid.
 
-    The grid is a stated set of thresholds, small and broadcast; each row meets each point and is counted at once.
+    A row passes the gates up to some threshold of each kind, so rows are counted once by the thresholds that they pass;
+    what meets the grid, a stated set of points, is that small histogram.
     """
-    point = {"MARGIN_MIN": F.col("margin_min"), "SIM_MIN": F.col("sim_min"), "SINGLE_HIT_MIN_COV": F.lit(0.25)}
-    decision = decide(F.col("sim"), F.col("coverage"), F.col("single_dist"), F.col("deep"), F.col("margin"), F.col("has_second"), F.col("admin_differs"), point.__getitem__)
-    return quadrants(rows.crossJoin(F.broadcast(grid)), ["margin_min", "sim_min"], quadrant(decision, F.col("ok")))
+    points = [(float(r.margin_min), float(r.sim_min)) for r in grid.select("margin_min", "sim_min").collect()]
+    if current is not None and not any(abs(m - current[0]) < 1e-9 and abs(s - current[1]) < 1e-9 for m, s in points):
+        points.append(current)
+    margins, sims = sorted({m for m, _ in points}), sorted({s for _, s in points})
+    passed = lambda c, steps: F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: c >= x)) if steps else F.lit(0)
+    lone = F.col("single_dist").isNotNull() & (F.col("single_dist") > 1e-9) & (F.col("coverage") < PARAMS["SINGLE_HIT_MIN_COV"])
+    held = F.coalesce(F.col("has_second") & F.col("admin_differs"), F.lit(False)) & F.col("margin").isNotNull()
+    cells = rows.groupBy(
+        (~F.coalesce(lone, F.lit(False)) & F.coalesce("deep", F.lit(True))).alias("_open"),
+        F.when(F.col("sim").isNull(), len(sims)).otherwise(passed(F.col("sim"), sims)).alias("_s"),
+        F.when(held, passed(F.col("margin"), margins)).otherwise(len(margins)).alias("_m"),
+        F.col("ok"),
+    ).agg(F.count("*").alias("_n"))
+    told = rows.sparkSession.createDataFrame([(m, s, margins.index(m), sims.index(s)) for m, s in points], "margin_min double, sim_min double, _mi int, _si int")
+    each = cells.crossJoin(F.broadcast(told)).withColumn("_q", quadrant(F.when(F.col("_open") & (F.col("_s") > F.col("_si")) & (F.col("_m") > F.col("_mi")), "confident").otherwise("held"), F.col("ok")))
+    total = lambda q: F.coalesce(F.sum(F.when(F.col("_q") == q, F.col("_n"))), F.lit(0))
+    out = each.groupBy("margin_min", "sim_min").agg(*[total(q).alias(q.lower()) for q in ("TP", "FA", "FR", "TR")])
+    share = lambda a, b: F.when(b > 0, a / b)
+    tp, fa, fr, tr = (F.col(k) for k in ("tp", "fa", "fr", "tr"))
+    return out.withColumns({"coverage": share(tp + fa, tp + fa + fr + tr), "risk": share(fa, tp + fa), "over_reject": share(fr, tp + fr)})
 
 
 def rises(points: DataFrame, along: str, within: str, value: str = "coverage") -> DataFrame:
@@ -108,24 +128,29 @@ def paired(rows: DataFrame, before: Column, after: Column, keys: list[str] | Non
 
 
 def bootstrap(rows: DataFrame, diff: Column, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """diff, lo, hi, n: mean of the paired differences (-1, 0, 1) with the 95 % interval of `rounds` resamples.
+    """diff, lo, hi, n: mean of the paired differences, any numbers, with the 95 % interval of `rounds` resamples; nulls don't count.
 
-    A resample of n rows depends on them only through the counts of the three values, so each is one multinomial draw of
-    those counts by a generator seeded with its number: exact, the same on every run, and as cheap for many rows as for few.
+    A resample of n rows depends on them only through the counts of the distinct values, so each is one multinomial draw
+    of those counts by a generator seeded with its number: exact and the same on every run. What one task holds is the
+    distinct values.
     """
-    counts = rows.agg(F.count(diff).alias("n"), F.count_if(diff == 1).alias("up"), F.count_if(diff == -1).alias("down")).where("n > 0")
+    counts = rows.select(diff.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("k"))
+    all_counts = counts.agg(F.array_sort(F.collect_list(F.struct("v", "k"))).alias("c"), F.sum("k").alias("n")).where("n > 0")
 
     @F.pandas_udf("double")
-    def draw(ids: pd.Series, n: pd.Series, up: pd.Series, down: pd.Series) -> pd.Series:
-        def one(i: int, size: int, a: int, b: int) -> float:
-            got = np.random.default_rng((seed, i)).multinomial(size, [a / size, b / size, (size - a - b) / size])
-            return (got[0] - got[1]) / size
+    def draw(ids: pd.Series, values: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(i: int, value: np.ndarray, size: np.ndarray) -> float:
+            value, size = np.asarray(value, float), np.asarray(size, float)
+            n = int(size.sum())
+            return float(np.random.default_rng((seed, i)).multinomial(n, size / n) @ value) / n
 
-        return pd.Series([one(*x) for x in zip(ids, n, up, down)], dtype="float64")
+        return pd.Series([one(*x) for x in zip(ids, values, sizes)], dtype="float64")
 
-    sampled = counts.crossJoin(F.broadcast(rows.sparkSession.range(rounds))).withColumn("m", draw("id", "n", "up", "down"))
+    pick = lambda k: F.transform("c", lambda x: x[k])
+    flat = all_counts.select("n", pick("v").alias("v"), pick("k").alias("k"), (F.aggregate("c", F.lit(0.0), lambda a, x: a + x["v"] * x["k"]) / F.col("n")).alias("diff"))
+    sampled = flat.crossJoin(F.broadcast(rows.sparkSession.range(rounds))).withColumn("m", draw("id", "v", "k"))
     at = lambda q: F.element_at(F.array_sort(F.collect_list("m")), min(rounds, int(q * rounds) + 1))
-    return sampled.groupBy("n", ((F.col("up") - F.col("down")) / F.col("n")).alias("diff")).agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
+    return sampled.groupBy("n", "diff").agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
 
 
 def golden_diff(golden: DataFrame, now: DataFrame) -> DataFrame:
@@ -169,6 +194,32 @@ def effective_counts(rows: DataFrame, source: str, group: str, draft: Column, ta
     return total, first.select(F.explode("_t").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def gate_status(rows: DataFrame, split: str, source: str, group: str, tags: str, need: dict[str, int] | None = None, per_tag: int = 30) -> DataFrame:
+    """split, effective, need, weak_tags, ok of each split that has a need: whether its effective rows (a group counts once) and, for train, the rows of each tag suffice. rows: with ord."""
+    need = {"train": 500, "calib": 300} if need is None else need
+    first = rows.groupBy(split, source, group).agg(F.min_by(tags, "ord").alias("_t"))
+    size = first.groupBy(F.col(split).alias("split")).agg(F.count("*").alias("effective"))
+    weak = first.where(F.col(split) == "train").select(F.col(split).alias("split"), F.explode("_t").alias("tag")).groupBy("split", "tag").count().where(F.col("count") < per_tag)
+    lists = weak.groupBy("split").agg(F.array_sort(F.collect_list("tag")).alias("weak_tags"))
+    told = rows.sparkSession.createDataFrame([(k, v) for k, v in need.items()], "split string, need long")
+    out = told.join(size, "split", "left").join(lists, "split", "left").withColumns({"effective": F.coalesce("effective", F.lit(0)), "weak_tags": F.coalesce("weak_tags", F.array().cast("array<string>"))})
+    return out.withColumn("ok", (F.col("effective") >= F.col("need")) & (F.size("weak_tags") == 0))
+
+
+def tagged(rows: DataFrame, drops: DataFrame, key: str, source_key: str | None = None, tag: str = "oov_db", column: str = "negative_type") -> DataFrame:
+    """rows with the tag where a drop affects them (drops: affects array), by their key or their source's; others keep what they had."""
+    hit = drops.select(F.explode("affects").alias("_k")).distinct()
+    own = rows.join(F.broadcast(hit), F.col(key) == F.col("_k") if source_key is None else (F.col(key) == F.col("_k")) | (F.col(source_key) == F.col("_k")), "left_semi").select(F.col(key).alias("_k")).distinct()
+    marked = rows.join(own.withColumn("_hit", F.lit(True)), F.col(key) == F.col("_k"), "left")
+    before = F.col(column) if column in rows.columns else F.lit(None).cast("string")
+    return marked.withColumn(column, F.when(F.col("_hit"), tag).otherwise(before)).drop("_k", "_hit")
+
+
+def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of one side that the other lacks, with the side; repeats count."""
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionAll(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
 def gaps(rows: DataFrame, axes: list[str], least: int = 20) -> DataFrame:
     """Cells of the axes with n and how many rows they lack."""
     return rows.groupBy(*axes).agg(F.count("*").alias("n")).withColumn("need", F.greatest(F.lit(0), least - F.col("n")))
@@ -190,11 +241,16 @@ def flat_share(points: DataFrame, key: str, at: str, value: str, current: Column
 
 
 def attribute(r: dict[str, Column]) -> Column:
-    """Where a failed row failed: the first label whose condition holds, null for a right row. Missing flags count as passed."""
+    """Where a failed row failed: the first label whose condition holds, null for a right row.
+
+    Missing flags count as passed, but a row that a gate judged (e_present, or a quadrant_geo) without telling its
+    quadrant did not pass it.
+    """
     yes = lambda k: F.coalesce(r[k], F.lit(True))
     no = lambda k: F.coalesce(r[k], F.lit(False))
     q = r["quadrant_geo"]
-    later = (~no("c_evaluable") | yes("c_ok")) & (~no("d_evaluable") | yes("d_ok")) & (q.isNull() | q.isin("TP", "TR"))
+    judged = F.coalesce(r["e_present"], F.lit(False)) if "e_present" in r else q.isNotNull()
+    later = (~no("c_evaluable") | yes("c_ok")) & (~no("d_evaluable") | yes("d_ok")) & (~judged | F.coalesce(q.isin("TP", "TR"), F.lit(False)))
     return (
         F.when(r["quality"] != "ok", "skip")
         .when(no("exact"), F.when(r["quadrant"] == "FR", "gate_over_reject"))
@@ -210,6 +266,20 @@ def attribute(r: dict[str, Column]) -> Column:
     )
 
 
+def attribution_detail(label: Column, r: dict[str, Column]) -> Column:
+    """What a label rests on, for people: r has address, missing, decision, gate, backfilled, leaked."""
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    names = lambda c: F.concat_ws(", ", c)
+    return (
+        F.when(label == "db_missing", F.concat(F.lit("not in the gazetteer: "), names(r["missing"]), F.lit("; address "), said(r["address"])))
+        .when(label.startswith("gate_"), F.concat(F.lit("gate="), said(r["gate"]), F.lit(" decision="), said(r["decision"])))
+        .when(label == "completion_error", F.concat(F.lit("levels put in: "), names(r["backfilled"])))
+        .when(label == "normalize_error", F.concat(F.lit("leaked: "), said(r["leaked"])))
+        .when(label.isNotNull(), F.concat(F.lit("address "), said(r["address"])))
+        .otherwise("")
+    )
+
+
 def severity(admin_all: Column, geo_recall: Column, geo_ok: Column, tail_all: Column) -> Column:
     return F.when(~admin_all, "admin").when((geo_recall < 1) | ~geo_ok, "place").when(~tail_all, "tail").otherwise("right")
 

@@ -24,15 +24,28 @@ def names(places: DataFrame) -> DataFrame:
 def closure(nodes: DataFrame, hops: int = 8) -> DataFrame:
     """adcode, ancestor, hop for every node (adcode, parent) and each of its ancestors, itself at hop 0.
 
-    The tree is walked from all nodes at once, a join per level; a walk ends at a missing parent or after `hops`.
+    Paths are doubled: a node's path up to k steps is joined with the path of the node at its end, so that `hops` steps
+    take its logarithm in joins. A walk ends at a missing parent or after `hops`.
     """
-    edges = nodes.select(F.col("adcode").alias("_from"), F.col("parent").alias("_to"))
-    step = nodes.select("adcode", F.col("adcode").alias("ancestor"), F.col("parent").alias("_next"))
-    out = step.select("adcode", "ancestor", F.lit(0).alias("hop"))
-    for hop in range(1, hops + 1):
-        step = step.where("_next is not null").join(edges, F.col("_next") == F.col("_from")).select("adcode", F.col("_from").alias("ancestor"), F.col("_to").alias("_next"))
-        out = out.unionAll(step.select("adcode", "ancestor", F.lit(hop).alias("hop")))
-    return out
+    known = nodes.select(F.col("adcode").alias("_p"))
+    paths = nodes.select("adcode", "parent").join(known, F.col("parent") == F.col("_p"), "left").select("adcode", F.when(F.col("_p").isNotNull(), F.array("_p")).otherwise(F.slice(F.array("adcode"), 1, 0)).alias("up"))
+    k = 1
+    while k < hops:
+        end = F.when(F.size("up") == k, F.element_at("up", -1))
+        more = paths.select(F.col("adcode").alias("_a"), F.col("up").alias("_more"))
+        paths = paths.withColumn("_end", end).join(more, F.col("_end") == F.col("_a"), "left").select("adcode", F.concat("up", F.coalesce("_more", F.slice("up", 1, 0))).alias("up"))
+        k *= 2
+    return paths.select("adcode", F.posexplode(F.concat(F.array("adcode"), "up")).alias("hop", "ancestor")).where(F.col("hop") <= hops).select("adcode", "ancestor", "hop")
+
+
+def candidates(places: DataFrame, level: str | None = None, parent: str | None = None, subtree: str | None = None, hops: int = 8) -> DataFrame:
+    """Places of a level, right below a parent, or anywhere below the root of a subtree, in any combination."""
+    out = places if level is None else places.where(F.col("level") == level)
+    out = out if parent is None else out.where(F.col("parent") == parent)
+    if subtree is None:
+        return out
+    below = closure(places, hops).where((F.col("ancestor") == subtree) & (F.col("hop") > 0)).select("adcode")
+    return out.join(below, "adcode", "left_semi")
 
 
 def descendants(nodes: DataFrame, root: str, level: str, hops: int = 8) -> DataFrame:
@@ -103,23 +116,5 @@ def national_codes(rows: DataFrame) -> DataFrame:
     return joined.select("adcode", "name", "level", parent.alias("parent"), "longitude", "latitude")
 
 
-def gold_chain(items: DataFrame, places: DataFrame, steps: tuple[str, ...] = ("province", "city", "district")) -> DataFrame:
-    """items (id and a name column per step) with <step>_code: the place of that name below the step above, else the first of that name at all."""
-    out = items
-    above = None
-    for step in steps:
-        pool = names(places.where(F.col("level") == step)).join(places.select("adcode", "parent", "ord"), "adcode")
-        anywhere = pool.groupBy(F.col("name").alias("_n")).agg(F.min_by("adcode", "ord").alias("_any"))
-        out = out.join(anywhere, F.col(step) == F.col("_n"), "left").drop("_n")
-        best = F.col("_any")
-        if above:
-            below = pool.groupBy(F.col("name").alias("_n"), F.col("parent").alias("_p")).agg(F.min_by("adcode", "ord").alias("_own"))
-            out = out.join(below, (F.col(step) == F.col("_n")) & (F.col(above) == F.col("_p")), "left").drop("_n", "_p")
-            best = F.coalesce("_own", "_any")
-        out = out.withColumn(f"{step}_code", best).drop("_own", "_any")
-        above = f"{step}_code"
-    return out
-
-
 def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     return rows.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)

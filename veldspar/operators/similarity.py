@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import phonetics
+
 BROADCAST_BYTES = 32 << 20
 
 
@@ -50,13 +54,113 @@ def best_windows(docs: DataFrame, tokens: str, names: DataFrame, syllables: str,
     return chosen.select("doc_id", "adcode", "b.*")
 
 
+class NameBlock:
+    """Names of a gazetteer's block by length, as numbers of their syllables."""
+
+    def __init__(self, rows: list):
+        self.known: dict[tuple, int] = {}
+        number = lambda syl: [self.known.setdefault((x["ini"], x["fin"], x["raw"]), len(self.known)) for x in syl]
+        by: dict[int, list] = {}
+        for r in rows:
+            by.setdefault(len(r["syl"]), []).append((r["adcode"], r["name_id"], r["name_ord"], number(r["syl"])))
+        self.groups = [(n, np.array([x[3] for x in own], np.int64), [x[:3] for x in own]) for n, own in sorted(by.items())]
+
+    def windows(self, ids: np.ndarray, costs: np.ndarray, tolerance: float, limit: float | None) -> list[tuple]:
+        """(adcode, name_id, dist, s, e, L) of each entry that shares a syllable with a document; ids: its syllables as rows of costs, whose columns are the names' syllables."""
+        shared = (costs[np.unique(ids)] == 0).any(axis=0) if len(ids) else np.zeros(costs.shape[1], bool)
+        found: dict = {}
+        for n, syl, keys in self.groups:
+            some = np.flatnonzero(shared[syl].any(axis=1))
+            if not len(some):
+                continue
+            best = np.full(len(some), np.inf)
+            start, end = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+            for w in (1,) if n <= 1 else (n - 1, n, n + 1):
+                if w > len(ids):
+                    continue
+                dist = _distances(ids, costs, syl[some], w) / max(w, n)
+                at = np.round(dist, 9).argmin(axis=0)
+                own = dist[at, np.arange(len(some))]
+                better = own < best - 1e-9
+                best[better], start[better], end[better] = own[better], at[better], at[better] + w
+            for k in np.flatnonzero(np.isfinite(best)).tolist():
+                adcode, name_id, name_ord = keys[some[k]]
+                found.setdefault(adcode, []).append((float(best[k]), n, name_ord, name_id, int(start[k]), int(end[k])))
+        out = []
+        for adcode, names in found.items():
+            least = min(x[0] for x in names)
+            dist, n, _, name_id, s, e = min((x for x in names if x[0] <= least + tolerance), key=lambda x: (-x[1], x[0], x[2]))
+            if limit is None or dist <= limit * min(1.0, n / 3.0):
+                out.append((adcode, name_id, dist, s, e, n))
+        return out
+
+
+def _distances(ids: np.ndarray, costs: np.ndarray, names: np.ndarray, w: int) -> np.ndarray:
+    """Edit distances (windows x names) of all windows of w syllables against names of one length, all in step."""
+    starts = np.arange(len(ids) - w + 1)
+    row = [np.full((len(starts), len(names)), float(j)) for j in range(names.shape[1] + 1)]
+    for i in range(w):
+        swap = costs[ids[starts + i]]
+        new = [np.full_like(row[0], float(i + 1))]
+        for j in range(names.shape[1]):
+            new.append(np.minimum(np.minimum(row[j + 1], new[j]) + 1, row[j] + swap[:, names[:, j]]))
+        row = new
+    return row[-1]
+
+
+def nearest_windows(docs: DataFrame, tokens: str, names: DataFrame, syllables: str, costs: DataFrame, tolerance: float = 0.08, limit: float | None = None, block_names: int = 50_000) -> DataFrame:
+    """What best_windows gives for syllables at weighted confusion costs, without a shuffle: doc_id, adcode, name_id, dist, s, e, L.
+
+    Names go out in blocks of about block_names (an entry's names in one block), and documents stream through each: all
+    windows of a document are compared with all names of a length at once. With a limit, entries beyond the distance that
+    a name of its length may have (effective_limit) are left out where they are found.
+    """
+    spark = docs.sparkSession
+    told = phonetics.Costs(costs.collect())
+    pool = names.select("adcode", "name_id", "name_ord", F.col(syllables).alias("syl")).where("size(syl) > 0")
+    blocks = max(1, -(-pool.count() // block_names))
+    kinds = dict(pool.dtypes) | {"doc_id": dict(docs.dtypes)["doc_id"]}
+    schema = f"doc_id {kinds['doc_id']}, adcode {kinds['adcode']}, name_id {kinds['name_id']}, dist double, s int, e int, L int"
+
+    def search(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, costs_ = sent.value
+            columns = list(block.known)
+            for batch in batches:
+                rows = batch.to_pylist()
+                seen: dict[tuple, int] = {}
+                read = [[seen.setdefault((x["ini"], x["fin"], x["raw"]), len(seen)) for x in r[tokens] or ()] for r in rows]
+                table = costs_.swap(list(seen), columns) if seen and columns else np.zeros((len(seen), len(columns)))
+                out = [(r["doc_id"], *hit) for r, ids in zip(rows, read) for hit in block.windows(np.array(ids, np.int64), table, tolerance, limit)]
+                types = (batch.schema.field("doc_id").type, None, None, pa.float64(), pa.int32(), pa.int32(), pa.int32())
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["doc_id", "adcode", "name_id", "dist", "s", "e", "L"])
+
+        return run
+
+    out = None
+    for k in range(blocks):
+        own = pool if blocks == 1 else pool.where(F.pmod(F.xxhash64("adcode"), F.lit(blocks)) == k)
+        sent = spark.sparkContext.broadcast((NameBlock([r.asDict(recursive=True) for r in own.collect()]), told))
+        found = docs.select("doc_id", tokens).mapInArrow(search(sent), schema)
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def match_names(queries: DataFrame, names: DataFrame, distance: Callable[[Column, Column], Column], topk: int = 5, most: float = 0.55) -> DataFrame:
-    """The topk entries for each query (query_id, syllables) by the distance to their nearest name: query_id, adcode, dist, rank. Ties go to the higher prior. Queries are a stated set; names (adcode, prior, syllables) go out by broadcast if their size allows."""
-    pairs = queries.select("query_id", F.col("syllables").alias("_q")).join(sized(names.select("adcode", "prior", F.col("syllables").alias("_n"))))
-    longest = F.greatest(F.size("_q"), F.size("_n"))
-    # the difference in length alone bounds the distance from below, so most pairs never reach the expensive part
-    cheap = F.abs(F.size("_q") - F.size("_n")) <= most * longest
-    near = pairs.where(cheap).withColumn("dist", distance(F.col("_q"), F.col("_n")) / longest).where(F.col("dist") <= most)
+    """The topk entries for each query (query_id, syllables) by the distance to their nearest name: query_id, adcode, dist, rank. Ties go to the higher prior.
+
+    The difference in length alone bounds the distance from below, so a query meets names of the lengths that can be near
+    enough: an equi join on the length, whatever the size of either side.
+    """
+    q = queries.select("query_id", F.col("syllables").alias("_q")).where("size(_q) > 0")
+    n = names.select("adcode", "prior", F.col("syllables").alias("_n"), F.size("syllables").alias("_len")).where("_len > 0")
+    longest_name = n.agg(F.max("_len")).head()[0] or 0
+    least = F.greatest(F.lit(1), F.ceil(F.size("_q") * (1 - most) - 1e-9).cast("int"))
+    largest = F.least(F.lit(longest_name), F.floor(F.size("_q") / max(1 - most, 1e-9) + 1e-9).cast("int")) if most < 1 else F.lit(longest_name)
+    lengths = q.select("query_id", "_q", F.explode(F.when(largest >= least, F.sequence(least, largest)).otherwise(F.array().cast("array<int>"))).alias("_len"))
+    pairs = lengths.join(n, "_len")
+    near = pairs.withColumn("dist", distance(F.col("_q"), F.col("_n")) / F.greatest(F.size("_q"), F.size("_n"))).where(F.col("dist") <= most)
     each = near.groupBy("query_id", "adcode").agg(F.min("dist").alias("dist"), F.max("prior").alias("prior"))
     w = W.partitionBy("query_id").orderBy("dist", F.desc("prior"), "adcode")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topk).drop("prior")

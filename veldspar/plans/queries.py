@@ -14,6 +14,7 @@ from ..operators import quality as qu
 from ..operators import ranking as rk
 from ..operators import search
 from ..operators import similarity as sm
+from ..operators import stages as st
 from . import resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,12 +116,49 @@ def national_codes(spark, sf):
     return gz.national_codes(df).select("adcode", "name", "level", "parent")
 
 
-@query(f"""WITH {TREE_SQL}, m AS (SELECT r_name, n_name FROM region, nation WHERE (r_regionkey + n_nationkey) % 3 = 0)
-SELECT r_name AS province, n_name AS city, p.adcode AS province_code, c.adcode AS city_code FROM m JOIN tree p ON p.name = r_name JOIN tree c ON c.name = n_name""")
+# Gold fields from customers: their region, nation and, for a third, a nation of another region; a road that is there, is elsewhere or is missing.
+GOLD_SQL = """gold AS (SELECT c_custkey AS id, r_name AS province, CASE c_custkey % 3 WHEN 0 THEN o.n_name ELSE n.n_name END AS city, '' AS district, '' AS street,
+  CASE c_custkey % 4 WHEN 0 THEN 'Customer#' || lpad((c_custkey + 1)::VARCHAR, 9, '0') WHEN 1 THEN 'nowhere' WHEN 2 THEN '' ELSE c_name END AS road, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE '' END AS community
+  FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN region ON n.n_regionkey = r_regionkey JOIN nation o ON o.n_nationkey = (n.n_nationkey + 7) % 25)"""
+
+
+def _gold(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    other = n.select(F.col("n_nationkey").alias("_k"), F.col("n_name").alias("_other"))
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(other, (F.col("n_nationkey") + 7) % 25 == F.col("_k"))
+    key = F.col("c_custkey")
+    road = F.when(key % 4 == 0, F.concat(F.lit("Customer#"), F.lpad((key + 1).cast("string"), 9, "0"))).when(key % 4 == 1, "nowhere").when(key % 4 == 2, "").otherwise(F.col("c_name"))
+    return c.select(key.alias("id"), F.col("r_name").alias("province"), F.when(key % 3 == 0, F.col("_other")).otherwise(F.col("n_name")).alias("city"), F.lit("").alias("district"), F.lit("").alias("street"), road.alias("road"), F.when(key % 5 == 0, F.col("c_name")).otherwise("").alias("community"))
+
+
+GOLD_CHAIN_SQL = f"""{TREE_SQL}, {GOLD_SQL},
+p AS (SELECT g.*, t.adcode AS province_code FROM gold g LEFT JOIN tree t ON t.level = 'province' AND t.name = g.province),
+c AS (SELECT p.*, t.adcode AS city_code FROM p LEFT JOIN tree t ON t.level = 'city' AND t.name = p.city),
+f AS (SELECT c.*, a.adcode AS community_code, b.adcode AS road_code FROM c LEFT JOIN tree a ON a.level = 'road' AND a.name = c.community AND (a.parent = city_code OR EXISTS (SELECT 1 FROM tree x WHERE x.adcode = a.parent AND x.parent = province_code))
+  LEFT JOIN tree b ON b.level = 'road' AND b.name = c.road AND (b.parent = city_code OR EXISTS (SELECT 1 FROM tree x WHERE x.adcode = b.parent AND x.parent = province_code))),
+chain AS (SELECT id, province_code, city_code, coalesce(community_code, road_code) AS deepest_code, CASE WHEN community_code IS NOT NULL THEN 'community' WHEN road_code IS NOT NULL THEN 'road' END AS deepest_field,
+  list_filter([CASE WHEN community <> '' AND community_code IS NULL THEN community END, CASE WHEN road <> '' AND road_code IS NULL THEN road END], lambda x: x IS NOT NULL) AS missing, community, road FROM f)"""
+
+
+def _tree_places(spark, sf):
+    return tree(spark, sf).withColumns({"aliases": F.array().cast("array<string>"), "ord": F.col("adcode")})
+
+
+@query(f"""WITH {GOLD_CHAIN_SQL} SELECT id, province_code, city_code, deepest_code, deepest_field, array_to_string(missing, '|') AS missing, deepest_code IS NOT NULL AS evaluable,
+  CASE WHEN community <> '' THEN NOT list_contains(missing, community) WHEN road <> '' THEN NOT list_contains(missing, road) ELSE false END AS in_db FROM chain""")
 def gold_chain(spark, sf):
-    t = tree(spark, sf).where("level <> 'road'").withColumns({"aliases": F.array().cast("array<string>"), "ord": F.col("adcode")})
-    m = table(spark, sf, "region").crossJoin(table(spark, sf, "nation")).where("(r_regionkey + n_nationkey) % 3 = 0").select(F.col("r_name").alias("province"), F.col("n_name").alias("city"))
-    return gz.gold_chain(m, t, ("province", "city"))
+    g = st.gold_chain(_gold(spark, sf), _tree_places(spark, sf), 4)
+    return g.select("id", "province_code", "city_code", "deepest_code", "deepest_field", F.array_join("missing", "|").alias("missing"), "evaluable", "in_db")
+
+
+@query(f"""WITH {GOLD_CHAIN_SQL}, chains AS (SELECT c_custkey AS id, 'c' || (c_custkey + k) AS road, 'n' || c_nationkey AS city, k FROM customer, range(2) t(k))
+SELECT id, k, coalesce(s.road = deepest_code AND (city_code IS NULL OR city_code = s.city), false) AS matches FROM chains s JOIN chain USING (id)""")
+def chain_matches(spark, sf):
+    g = st.gold_chain(_gold(spark, sf), _tree_places(spark, sf), 4).select("id", *[f"{a}_code" for a in st.ADMIN], "deepest_code")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("own"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("k"))
+    rows = c.join(g, "id").withColumn("road", F.concat(F.lit("c"), F.col("id") + F.col("k")))
+    entries = F.array(F.struct(F.lit("city").alias("level"), F.col("own").alias("code")), F.struct(F.lit("road").alias("level"), F.col("road").alias("code")))
+    return rows.select("id", "k", st.chain_matches(F.array("road", "own"), entries, F.col("deepest_code"), {a: F.col(f"{a}_code") for a in st.ADMIN}).alias("matches"))
 
 
 RULES = [("thing", "matter", ("a",), "x"), ("the", "a", ("a", "b"), "x"), ("and", "", ("b",), "x"), ("erin", "er", ("c",), "x"), ("other", "else", ("通用",), "x")]

@@ -1,7 +1,7 @@
 """From spoken texts to ranked chains of places and a decision: the library's operators composed into one plan.
 
-Everything up to the distance of a window and a name is column expressions and joins; the distance is one Arrow UDF.
-A document's hits are few, so its greedy steps are folds over arrays and no step gathers more than one document.
+Texts are normalized by column expressions; documents then stream past the gazetteer's names, which are broadcast in
+blocks, and no shuffle comes before the few hits of a document are put together. A document's hits are few, so its greedy steps are folds over arrays and no step gathers more than one document.
 """
 
 from __future__ import annotations
@@ -21,17 +21,6 @@ SIBLINGS = list("东西南北中上下内外前后左右新老大小一二三四
 SIBLING_COST = 0.9
 
 
-def syllables(chars: Column, readings: Column) -> Column:
-    """Syllables of an array of characters by a map of readings; an unknown character reads as itself."""
-    return F.transform(chars, lambda c: phonetics.split_syllable(F.coalesce(F.try_element_at(readings, c), c)))
-
-
-def with_readings(rows: DataFrame, readings: DataFrame) -> DataFrame:
-    """rows with the map _readings of all characters (ch, raw): a table of a script's characters, bounded by it."""
-    table = readings.agg(F.map_from_entries(F.collect_list(F.struct("ch", "raw"))).alias("_readings"))
-    return rows.crossJoin(F.broadcast(table))
-
-
 def _letters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
@@ -51,12 +40,11 @@ def find_hits(docs: DataFrame, places: DataFrame, readings: DataFrame, costs: Da
     and a short administrative alias mustn't stand before a demonym. Names of two syllables are weak, but for provinces
     and cities that no other entry sounds like. Within a document, clearly worse hits under better ones of their level go.
     """
-    named = with_readings(gz.names(places).withColumn("chars", _letters(text.han_only(F.col("name")))), readings)
-    named = named.select("adcode", "name_ord", "name", "chars", syllables(F.col("chars"), F.col("_readings")).alias("syl")).where("size(syl) > 0")
+    named = phonetics.read_aloud(gz.names(places).withColumn("plain", text.han_only(F.col("name"))), readings, "plain", "syl").where("size(syl) > 0")
+    named = named.select("adcode", "name_ord", "name", _letters(F.col("plain")).alias("chars"), "syl")
     named = named.withColumn("name_id", F.xxhash64("adcode", "name_ord"))
-    read = with_readings(docs.select("doc_id", "han", _letters(F.col("han")).alias("_c")), readings)
-    heard = read.select("doc_id", "han", syllables(F.col("_c"), F.col("_readings")).alias("syls"))
-    best = sm.best_windows(heard, "syls", named, "syl", phonetics.weighted_distance(costs), rk.PARAMS["LONGER_NAME_TOL"])
+    heard = phonetics.read_aloud(docs.select("doc_id", "han"), readings, "han", "syls")
+    best = sm.nearest_windows(heard, "syls", named, "syl", costs, rk.PARAMS["LONGER_NAME_TOL"], rk.PARAMS["MAX_DIST"])
     sound = F.array_join(F.transform("syl", lambda x: x["raw"]), " ")
     owners = gz.collisions(named, sound)
     full = best.join(named.select("name_id", "name_ord", F.col("name").alias("matched"), "chars", "syl", sound.alias("key")), "name_id").join(owners, "key").join(places.drop("aliases").withColumnRenamed("name", "entry"), "adcode").join(heard.select("doc_id", "han", "syls"), "doc_id")

@@ -187,14 +187,26 @@ def histograms(rows: DataFrame, columns: tuple[str, ...] = ("attribution", "deci
     return rows.select(F.explode(each).alias("x")).select("x.*").where("value is not null").groupBy("what", "value").agg(F.count("*").alias("n"))
 
 
-def oracle_table(items: DataFrame, places: DataFrame, readings: DataFrame, costs: DataFrame, configs: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(a summary row for each config over all items, evaluated rows of all configs): what the engine would reach if a part were perfect."""
-    runs = []
-    for name, oracle in (CONFIGS if configs is None else configs).items():
-        made = baseline(items, places) if oracle is None else outcomes(items, places, readings, costs, oracle)
-        runs.append(flat(evaluated(made)).withColumn("config", F.lit(name)))
-    keep = ["config", "id", *RATES, *MEANS, "quadrant", "c_evaluable", "attribution", "attribution_detail", "has_address"]
-    rows = reduce(DataFrame.unionByName, [r.select(*keep) for r in runs])
+KEPT = ["id", *RATES, *MEANS, "quadrant", "c_evaluable", "attribution", "attribution_detail", "has_address"]
+
+
+def config_rows(items: DataFrame, places: DataFrame, readings: DataFrame, costs: DataFrame, oracle: tuple[str, ...] | None) -> DataFrame:
+    """Evaluated rows of one run of an oracle table: KEPT columns."""
+    made = baseline(items, places) if oracle is None else outcomes(items, places, readings, costs, oracle)
+    return flat(evaluated(made)).select(*KEPT)
+
+
+def oracle_table(items: DataFrame, places: DataFrame, readings: DataFrame, costs: DataFrame, folder: str, configs: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a summary row for each config over all items, evaluated rows of all configs): what the engine would reach if a part were perfect.
+
+    Each run's rows are written below folder, a shared one, before the next is planned: six whole plans in one would be
+    too large a tree for the optimizer.
+    """
+    spark = items.sparkSession
+    runs = CONFIGS if configs is None else configs
+    for k, (name, oracle) in enumerate(runs.items()):
+        config_rows(items, places, readings, costs, oracle).withColumn("config", F.lit(name)).write.mode("overwrite").parquet(f"{folder}/{k}")
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{k}") for k in range(len(runs))])
     share = lambda a, b: F.when(b > 0, a / b)
     q = lambda *names: F.count_if(F.col("quadrant").isin(*names))
     table = rows.groupBy("config").agg(F.count_if("exact").alias("exact_k"), F.count_if("deliverable").alias("deliverable_k"), F.count("*").alias("n"), share(q("TP", "FA"), F.count("*")).alias("coverage"), share(q("FA"), q("TP", "FA")).alias("risk"))

@@ -286,7 +286,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_
 
     path: a tokenizer file of the tokenizers library that drops white space and splits at it, so that stretches
     between white space can be encoded apart. Null text is empty and leaves the end id alone; a null doc_id comes
-    first; rows of one doc_id are written each, in the order of a hash of their text. No rows give no files; other columns are ignored.
+    first; rows of one doc_id are written each, in the order in which they are read. No rows give no files; other columns are ignored.
     """
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as file:
@@ -325,7 +325,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, file_
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate(kinds)], names=[x.split(" ")[0] for x in MANIFEST.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    dealt = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at").drop("at")  # rows of one id are dealt, too, and no text is read to find the ranges
     dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 

@@ -62,12 +62,14 @@ class CuckooShard:
         if doc_id is not None and (key[1] is None or doc_id < key[1]):
             key[1] = doc_id
 
-    def delete(self, digest: bytes, count: int = 1) -> bool:
-        """Takes back count live rows; the key leaves with its last one. False for a digest that isn't live."""
+    def delete(self, digest: bytes, doc_id: int | None = None, count: int = 1) -> bool:
+        """Takes back count live rows, doc_id the least of them; the key leaves with its last one, and one whose least doc_id leaves has none until it is told again. False for a digest that isn't live."""
         key = self.find(digest)
         if key is None:
             return False
         key[2] -= count
+        if key[1] == doc_id:
+            key[1] = None
         if key[2] <= 0:
             for bucket in set(self._homes(digest)[1:]):
                 for at, own in enumerate(self.stored[bucket]):
@@ -143,11 +145,14 @@ def _combined(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(local, "digest binary, doc_id long, count long")
 
 
-def update(index: DataFrame | None, keys: DataFrame, shards: int, delete: bool = False) -> DataFrame:
+def update(index: DataFrame | None, keys: DataFrame, shards: int, delete: bool = False, rest: DataFrame | None = None) -> DataFrame:
     """The index after inserting (or deleting) keys (doc_id, digest): one row for each live digest, at its bucket and slot.
 
-    Deleting takes the digest's rows off its live count; keep_id remains the least doc_id ever inserted while it lives.
+    Deleting takes the digest's rows off its live count. rest: the keys that stay live after a deletion; of digests whose
+    least doc_id was deleted it gives the new one, aggregated before it moves. A deletion needs it.
     """
+    if delete and rest is None:
+        raise ValueError("a deletion needs the keys that stay live")
     spark = keys.sparkSession
     shard = F.pmod(F.conv(F.hex(F.substring("digest", 11, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
     change = _combined(keys.select("doc_id", "digest", F.lit(1).cast("long").alias("count"))).withColumn("shard", shard)
@@ -159,13 +164,19 @@ def update(index: DataFrame | None, keys: DataFrame, shards: int, delete: bool =
         number = int((own if len(own) else new).shard.iloc[0])
         for digest, doc_id, count in sorted(zip(new.digest, new.doc_id, new["count"], strict=True), key=lambda x: x[0]):
             if delete:
-                filled.delete(digest, int(count))
+                filled.delete(digest, None if pd.isna(doc_id) else int(doc_id), int(count))
             else:
                 filled.insert(digest, None if pd.isna(doc_id) else int(doc_id), int(count))
         out = pd.DataFrame([(number, *row) for row in filled.rows()], columns=["shard", "n_buckets", "bucket", "slot", "digest", "keep_id", "live"])
         return out.astype({"keep_id": "Int64"})
 
-    return index.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, INDEX)
+    out = index.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(apply, INDEX)
+    if not delete:
+        return out
+    out = written(out, "index")
+    stale = out.where("keep_id is null").select("digest")
+    told = rest.join(stale, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("_keep"))
+    return out.join(told, "digest", "left").select("shard", "n_buckets", "bucket", "slot", "digest", F.coalesce("keep_id", "_keep").alias("keep_id"), "live")
 
 
 def exact_groups(docs: DataFrame, shards: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:

@@ -122,8 +122,13 @@ def test_index_takes_batches_and_deletions(spark):
     a = exact_dedup.digests(spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "doc_id long, text string"))
     b = exact_dedup.digests(spark.createDataFrame([(4, "z"), (0, "x")], "doc_id long, text string"))
     gone = exact_dedup.digests(spark.createDataFrame([(2, "y"), (9, "never there")], "doc_id long, text string"))
-    index = exact_dedup.update(exact_dedup.update(exact_dedup.update(None, a, 3), b, 3), gone, 3, delete=True)
+    index = exact_dedup.update(exact_dedup.update(exact_dedup.update(None, a, 3), b, 3), gone, 3, delete=True, rest=a.where("doc_id <> 2").union(b))
     assert sorted((r.keep_id, r.live) for r in index.collect()) == [(0, 3), (4, 1)]
+    rest = exact_dedup.digests(spark.createDataFrame([(3, "x"), (1, "x"), (4, "z")], "doc_id long, text string"))
+    index = exact_dedup.update(index, exact_dedup.digests(spark.createDataFrame([(0, "x")], "doc_id long, text string")), 3, delete=True, rest=rest)
+    assert sorted((r.keep_id, r.live) for r in index.collect()) == [(1, 2), (4, 1)]  # the row that stayed is gone: the next one stays
+    with pytest.raises(ValueError):
+        exact_dedup.update(index, rest, 3, delete=True)
 
 
 def test_chat_digests_and_spans(spark):
@@ -189,3 +194,44 @@ def test_encode_documents(spark, tokenizer):
     assert sorted(((r.doc_id, r.input_ids, r.decoded) for r in got), key=repr) == sorted(want, key=repr)
     assert all(r.n_tokens == len(r.input_ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.input_ids)).encode()).hexdigest() for r in got)
     assert bpe_automaton.encode_documents(spark.createDataFrame([], DOCS), path).count() == 0
+
+
+def numbered(ts):
+    return "".join(f"{k}. {r}: {t}\n" for k, (r, t) in enumerate(ts, 1))
+
+
+def windowed(ts):
+    return "".join(f"{r}: {t}\n" for r, t in ts[-40:])
+
+
+def blanking(ts):
+    return "".join(f"{r}: {t if k >= len(ts) - 35 else ''}\n" for k, (r, t) in enumerate(ts))
+
+
+@pytest.mark.parametrize("exact", [256, 8])
+def test_templates_that_look_far_back(monkeypatch, exact):
+    monkeypatch.setattr(chat_format, "EXACT", exact)
+    turns = [("assistant" if k % 2 else "user", f"text {k} \ue000\ue001") for k in range(70)]
+    for template, rewrites in ((numbered, False), (windowed, True), (blanking, True), (chat_format.marked_turns, False)):
+        out, found, rewritten = chat_format.spans(turns, template)
+        assert rewritten == rewrites and out == template(turns)
+        if not rewrites:
+            assert "".join(out[a:d] for a, _, _, d in found) == out
+            assert [chat_format.unescape(out[b:c]) for _, b, c, _ in found] == [t for _, t in turns]
+
+
+def test_later_turns_are_rendered_in_linear_time(monkeypatch):
+    monkeypatch.setattr(chat_format, "EXACT", 8)
+    seen = []
+
+    def counting(ts):
+        seen.append(len(ts))
+        return chat_format.marked_turns(ts)
+
+    turns = [("user", "x")] * 3000
+    assert not chat_format.spans(turns, counting)[2] and sum(seen) < 12 * len(turns)
+
+
+def test_a_role_with_the_mark(spark):
+    out, found, _ = chat_format.spans([("\ue000\ue001", "text")])
+    assert out[found[0][1] : found[0][2]] == "text"

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from veldspar.plans.queries import QUERIES, SQL
+from veldspar.plans.stage_queries import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

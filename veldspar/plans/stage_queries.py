@@ -180,7 +180,7 @@ def calibration_gain(spark, sf):
     return calibration.calibration_gain(j, F.col("n_chars") / 20000, F.col("quality") == 1)
 
 
-REPLAY_SQL = """f AS (SELECT l_orderkey AS id, l_linenumber::BIGINT AS chain, 0.55 + l_discount * 3 + l_linenumber * 0.00137 AS sim, l_tax * 5 AS cov, l_quantity / 50 AS prior, l_linenumber / 7 AS depth, l_tax * 2 AS conflict, l_returnflag AS admin, l_linestatus = 'O' AS deep, l_partkey % 3 > 0 AS ok FROM lineitem),
+REPLAY_SQL = """f AS (SELECT l_orderkey AS id, l_linenumber::BIGINT AS chain, 0.55::DOUBLE + l_discount * 3 + l_linenumber * 0.00137::DOUBLE + l_partkey * 1e-7::DOUBLE AS sim, l_tax * 5 AS cov, l_quantity / 50 AS prior, l_linenumber / 7 AS depth, l_tax * 2 AS conflict, l_returnflag AS admin, l_linestatus = 'O' AS deep, l_partkey % 3 > 0 AS ok FROM lineitem),
 c(candidate, mm) AS (VALUES (0, 0.0613177), (1, 0.2017313)),
 t AS (SELECT *, 0.5 * sim + 0.2 * cov + 0.15 * prior + 0.15 * depth - 0.25 * conflict AS total FROM f),
 r AS (SELECT *, row_number() OVER w AS rank, lead(total) OVER w AS nxt, lead(admin) OVER w AS nadmin FROM t WINDOW w AS (PARTITION BY id ORDER BY total DESC, chain)),
@@ -190,7 +190,7 @@ q AS (SELECT candidate, id, CASE WHEN dec = 'confident' THEN CASE WHEN ok THEN '
 
 def _replay(spark, sf):
     li = table(spark, sf, "lineitem")
-    f = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("chain"), (0.55 + F.col("l_discount") * 3 + F.col("l_linenumber") * 0.00137).alias("sim"), (F.col("l_tax") * 5).alias("cov"), (F.col("l_quantity") / 50).alias("prior"), (F.col("l_linenumber") / 7).alias("depth"), (F.col("l_tax") * 2).alias("conflict"), F.col("l_returnflag").alias("admin"), (F.col("l_linestatus") == "O").alias("deep"), (F.col("l_partkey") % 3 > 0).alias("ok"), F.lit(None).cast("double").alias("single_dist"))
+    f = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("chain"), (0.55 + F.col("l_discount") * 3 + F.col("l_linenumber") * 0.00137 + F.col("l_partkey") * 1e-7).alias("sim"), (F.col("l_tax") * 5).alias("cov"), (F.col("l_quantity") / 50).alias("prior"), (F.col("l_linenumber") / 7).alias("depth"), (F.col("l_tax") * 2).alias("conflict"), F.col("l_returnflag").alias("admin"), (F.col("l_linestatus") == "O").alias("deep"), (F.col("l_partkey") % 3 > 0).alias("ok"), F.lit(None).cast("double").alias("single_dist"))
     o = table(spark, sf, "orders")
     items = f.select("id").distinct().join(o, F.col("id") == F.col("o_orderkey")).select("id", F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_custkey") % 9 == 0, "oov_db").alias("negative_type"), (F.col("o_custkey") % 11 != 0).alias("has_address"))
     return f, items, [{"MARGIN_MIN": 0.0613177}, {"MARGIN_MIN": 0.2017313}]

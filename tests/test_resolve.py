@@ -66,11 +66,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"train": ["a", "b"], "eval": ["c"], "n": 3}))
     assert sorted(map(tuple, tables.read_splits(spark, str(tmp_path / "s.json")).collect())) == [("a", "train"), ("b", "train"), ("c", "eval")]
     tables.register_places(spark)
-    (tmp_path / "poi.jsonl").write_text("\n".join(json.dumps({"name": f"plaza {k}", "region": "r" if k % 2 else "s"}) for k in range(80)))
+    lines = "\n".join([*(json.dumps({"name": f"plaza {k}", "region": "r" if k % 2 else "s"}) for k in range(80)), "no json"])
     read = lambda **o: spark.read.format("places").options(**o).load().count()
-    assert read(path=str(tmp_path / "poi.jsonl"), keyword="plaza", limit=99) == 25
-    assert read(path=str(tmp_path / "poi.jsonl"), keyword="plaza", region="r", limit=4) == 4
-    assert read(path=str(tmp_path / "none.jsonl")) == 0
+    assert read(lines=lines, keyword="plaza", limit=99) == 25
+    assert read(lines=lines, keyword="plaza", region="r", limit=4) == 4
+    assert read(keyword="plaza") == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -102,7 +102,7 @@ def test_tiles_match_the_definition():
         assert sum(n for *_, n in found) == want
 
 
-def test_contaminated_catches_copies_and_reordered_passages(spark):
+def test_contaminated_catches_copies_and_reordered_passages(spark, monkeypatch):
     r = random.Random(6)
     words = [f"w{k}" for k in range(300)]
     items = [" ".join(r.choice(words) for _ in range(30)) for _ in range(10)] + ["tiny item here"]
@@ -122,6 +122,10 @@ def test_contaminated_catches_copies_and_reordered_passages(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
     small = [b for b in decontaminate.blocks(bench, limit=200)]
     assert len(small) > 1 and sum(map(len, small)) == len(items)
+    whole = sorted(map(tuple, decontaminate.contaminated(df, bench).collect()))
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (200,))
+    assert sorted(map(tuple, decontaminate.contaminated(df, bench).collect())) == whole
+    assert sorted(map(tuple, decontaminate.clean(df, bench).collect())) == sorted(map(tuple, kept.collect()))
 
 
 def test_pipeline_matches_its_parts_by_brute_force(spark, tmp_path):

@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
 A document and a benchmark item become a pair when they share a seed of SEED consecutive words; the index of the items'
-seeds goes to the executors in blocks of a bounded size, each of which meets all documents. A pair is then tiled: the
+seeds goes to the executors in blocks of a bounded size, one at a time, each of which meets all documents. A pair is then tiled: the
 longest matches of unmarked words are found by running Karp-Rabin over lengths that halve from long to short, marked
 longest first without overlap, and the search goes on with what is unmarked until no match of SEED words is left. The
 share of the item's words under tiles is its coverage, so passages in another order or apart count in full.
@@ -10,14 +10,14 @@ share of the item's words under tiles is its coverage, so passages in another or
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, text_of
+from .common import pieces, text_of, written
 
 SEED = 5
 COVERAGE = 0.8
@@ -182,13 +182,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    found = [rows.mapInArrow(_search(rows.sparkSession.sparkContext.broadcast(block), coverage, seed), HITS) for block in blocks(benchmark)]
-    out = found[0] if found else rows.sparkSession.createDataFrame([], HITS)
-    for more in found[1:]:
-        out = out.unionAll(more)
+    out = rows.sparkSession.createDataFrame([], HITS)
+    for block, last in _last_told(blocks(benchmark)):
+        told = rows.sparkSession.sparkContext.broadcast(block)
+        found = rows.mapInArrow(_search(told, coverage, seed), HITS)
+        if not last:  # one block is with the executors at a time
+            found = written(found, "hits")
+            told.destroy()
+        out = out.unionAll(found)
     return out
 
 
+def _last_told(items: Iterable) -> Iterator[tuple]:
+    """(item, whether it is the last)."""
+    held: list = []
+    for item in items:
+        if held:
+            yield held.pop(), False
+        held.append(item)
+    for item in held:
+        yield item, True
+
+
 def _search(told, coverage: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(told.value, seed)
@@ -202,9 +217,9 @@ def _search(told, coverage: float, seed: int):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED) -> DataFrame:
-    """The rows of docs, with all columns, that hit no item of the benchmark. Rows pass through in place, without a shuffle."""
+    """The rows of docs, with all columns, that hit no item of the benchmark. Rows pass through in place, without a shuffle; between blocks of a large benchmark they are written. Null and empty texts stay; repeated rows are judged each; an empty benchmark removes nothing."""
     out = docs
-    for block in blocks(benchmark):
+    for block, last in _last_told(blocks(benchmark)):
         told = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
@@ -213,6 +228,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, see
                 yield batch.filter(pa.array([not (text.is_valid and seeds.hits(text.as_buffer().to_pybytes(), coverage)) for text in batch["text"]], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
+        if not last:  # one block is with the executors at a time
+            out = written(out, "clean")
+            told.destroy()
     return out
 
 

@@ -107,3 +107,27 @@ def test_json(rows):
 
     got = {r.id: json.loads(r.json) for r in evaluate.result_json(rows).collect()}
     assert got["a"]["address"] == ITEMS[0][2] and got["a"]["nbest"][0]["hits"] and got["a"]["fields"]["road"] == "二环路南四段"
+
+
+def test_sound_metrics(run):
+    items, places, readings, costs = run
+    from veldspar.operators import stages as st
+
+    gold = st.gold_chain(items.select("id", *[F.coalesce(F.col(f"fields.{k}"), F.lit("")).alias(k) for k in ("province", "city", "district", "street", "road", "community")]), places)
+    got = {r.id: r for r in evaluate.sound_metrics(items.withColumn("transcript_gold", F.col("spoken")), gold, places, readings, costs).collect()}
+    assert set(got) == {x[0] for x in ITEMS} and got["a"].cer_name_char == got["a"].name_phon_dist_max == 0 and got["a"].recoverable_share is None
+    assert got["d"].name_phon_dist_max is None and got["c"].cer_name_char == 0 and got["a"].cer_phon == got["a"].cer_char == 0
+
+
+def test_every_sabotage_is_blamed(spark, rows, run, tmp_path):
+    evaluate.outcomes(*run).write.parquet(str(tmp_path / "o"))
+    table = spark.read.parquet(str(tmp_path / "o"))
+    for name, case in evaluate.sabotage().items():
+        r = evaluate.selfcheck(table, {name: case}).head()
+        assert r.raised, r
+
+
+def test_steps_stop_at_the_first_failure():
+    ran = []
+    got = evaluate.run_steps([("a", lambda: ran.append(1)), ("b", lambda: 1 / 0), ("c", lambda: ran.append(2))])
+    assert [(n, ok) for n, ok, _ in got] == [("a", True), ("b", False)] and "ZeroDivisionError" in got[1][2] and ran == [1]

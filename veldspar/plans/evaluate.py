@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
+from ..functions import phonetics, stats, text
 from ..operators import evaluation as ev
 from ..operators import gazetteer as gz
 from ..operators import ranking as rk
@@ -62,7 +62,7 @@ def outcomes(items: DataFrame, places: DataFrame, readings: DataFrame, costs: Da
         return again.withColumn("margin", margin).withColumn("total", F.col("_own")).drop("_own", "_right", "_most")
 
     chains = resolve.resolve_chains(docs, places, readings, costs, topk, hook=rank_first if "rank" in oracle else None)
-    made = assemble.assembled(chains, phonetic_readings(readings), costs)
+    made = assemble.assembled(chains, phonetics.all_readings(readings), costs)
     rows = items.join(chains.withColumnRenamed("doc_id", "id").drop("text"), "id").join(made.withColumnRenamed("doc_id", "id").withColumnRenamed("fields", "made"), "id").join(gold, "id", "left")
     entries = lambda c: F.transform(c["entries"], lambda e: F.struct(e["level"].alias("level"), e["code"].alias("code")))
     right = F.transform("nbest", lambda c: st.chain_matches(c["all_codes"], entries(c), F.col("g.deepest_code"), codes))
@@ -75,12 +75,6 @@ def _by_rank():
     return W.partitionBy("doc_id").orderBy("rank")
 
 
-def phonetic_readings(readings: DataFrame) -> DataFrame:
-    from ..functions.phonetics import all_readings
-
-    return all_readings(readings)
-
-
 def baseline(items: DataFrame, places: DataFrame) -> DataFrame:
     """Outcomes without any retrieval: the text with its numerals normalized is the address; it is always delivered."""
     written = text.normalize_numbers(F.coalesce("spoken", F.lit("")))
@@ -146,6 +140,68 @@ def evaluated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("attribution", label).withColumn("attribution_detail", ev.attribution_detail(F.col("attribution"), {"address": F.col("address"), "missing": F.coalesce("g.missing", F.array().cast("array<string>")), "decision": F.col("decision"), "gate": F.col("gate_blame"), "backfilled": F.col("f.backfilled"), "leaked": F.col("b.leaked")}))
 
 
+def sound_metrics(items: DataFrame, gold: DataFrame, places: DataFrame, readings: DataFrame, costs: DataFrame) -> DataFrame:
+    """Stage A of each item (id, spoken, fields): id with the name metrics of stages.stage_a, and cer_char and cer_phon of the whole text where there is a transcript_gold. gold: stages.gold_chain's rows, for the names' other spellings."""
+    have = set(items.columns)
+    variants = st.name_variants(gold.select("id", "road_codes", *st.GEO), places).select("id", "field", F.explode("variants").alias("name"))
+    heard = phonetics.read_aloud(items.select("id", text.han_only(F.coalesce("spoken", F.lit(""))).alias("han")), readings, "han", "syls")
+    told = phonetics.read_aloud(variants.select("name").distinct().withColumn("plain", text.han_only(F.col("name"))), readings, "plain", "nsyl").select("name", "nsyl")
+    pairs = variants.join(told, "name").join(heard, "id")
+    n, m = F.size("nsyl"), F.size("syls")
+    widths = F.filter(F.array(n - 1, n, n + 1), lambda w: (w >= 1) & (w <= m))
+    cut = F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(0), m - w), lambda s: F.struct(w.alias("w"), s.alias("s")))))
+    each = pairs.select("id", "field", "name", "han", "nsyl", F.explode_outer(cut).alias("c"), "syls").withColumn("window", F.slice("syls", F.col("c.s") + 1, F.greatest(F.col("c.w"), F.lit(0))))
+    dist = F.coalesce(phonetics.weighted_distance(costs)(F.col("window"), F.col("nsyl")) / F.greatest(F.col("c.w"), F.size("nsyl")), F.lit(1.0))
+    near = each.withColumn("d", dist).groupBy("id", "field", "name").agg(F.min_by(F.struct("d", "window", "nsyl", "han"), F.struct(F.round("d", 9).alias("r"), F.col("c.w").alias("w"), F.col("c.s").alias("s"))).alias("b"))
+    raw = lambda c: F.transform(c, lambda x: x["raw"])
+    scored = near.select("id", "field", "name", F.round(st.closest_part(F.col("b.han"), F.col("name"))["cer"], 3).alias("cer_char"), F.round(F.when(F.col("b.window").isNull(), 1.0).otherwise(st.token_rate(raw(F.col("b.window")), raw(F.col("b.nsyl")))), 3).alias("cer_phon"), F.round("b.d", 3).alias("dist_phon_w"))
+    out = items.select("id").join(st.stage_a(st.likest(scored)), "id", "left")
+    if "transcript_gold" not in have:
+        return out
+    both = phonetics.read_aloud(phonetics.read_aloud(items.select("id", text.han_only(F.coalesce("spoken", F.lit(""))).alias("h"), text.han_only(F.col("transcript_gold")).alias("g")), readings, "h", "hs"), readings, "g", "gs")
+    whole = both.where("length(g) > 0").select("id", ev.cer(F.col("h"), F.col("g")).alias("cer_char"), st.token_rate(raw(F.col("hs")), raw(F.col("gs"))).alias("cer_phon"))
+    return out.join(whole, "id", "left")
+
+
+def sabotage() -> dict[str, tuple[str, dict[str, Column]]]:
+    """What spoils an outcome in one place, and the label that a wrong row must then get."""
+    return {
+        "every decision is a rejection": ("gate_over_reject", {"decision": F.lit("reject")}),
+        "the right chain is second": ("rank_error", {"decision": F.lit("confident"), "right": F.array(F.lit(False), F.lit(True)), "address": F.concat("address", F.lit("x"))}),
+        "the right chain is never found": ("recall_miss", {"right": F.array().cast("array<boolean>"), "address": F.concat("address", F.lit("x"))}),
+        "the address gets a stray character": ("assembly_error", {"address": F.concat("address", F.lit("x"))}),
+        "the levels put in are wrong": ("completion_error", {"address": F.concat("address", F.lit("x")), "made": F.map_concat(F.map_filter("made", lambda k, _: k != "province"), F.create_map(F.lit("province"), F.lit("x")))}),
+        "the house number is lost": ("normalize_error", {"made": F.map_concat(F.map_filter("made", lambda k, _: k != "house_no"), F.create_map(F.lit("house_no"), F.lit(""))), "address": F.regexp_replace("address", "[0-9]+号", "")}),
+        "a place is taken out of the gazetteer": ("db_missing", {"g": F.col("g").withField("missing", F.array(F.lit("碧落街"))).withField("in_db", F.lit(False)), "address": F.lit("x")}),
+        "the recording is silent": ("skip", {"quality": F.lit("silent"), "address": F.lit("x")}),
+        "the names are misheard beyond recovery": ("asr_unrecoverable", {"name_phon_dist_max": F.lit(0.9), "address": F.concat("address", F.lit("x"))}),
+        "talk without an address is delivered": ("gate_over_accept", {"has_address": F.lit(False), "decision": F.lit("confident")}),
+    }
+
+
+def selfcheck(rows: DataFrame, scenarios: dict | None = None) -> DataFrame:
+    """scenario, expected, before, after, raised: whether each sabotage of outcomes' rows brings up the label that it should. rows: a written table, as each scenario reads it anew."""
+    told = sabotage() if scenarios is None else scenarios
+    count = lambda df, label: evaluated(df).agg(F.count_if(F.coalesce(F.col("attribution") == label, F.lit(False))).alias("n"))
+    found = []
+    for name, (label, changes) in told.items():
+        pair = count(rows, label).withColumnRenamed("n", "before").crossJoin(count(rows.withColumns(changes), label).withColumnRenamed("n", "after"))
+        found.append(pair.select(F.lit(name).alias("scenario"), F.lit(label).alias("expected"), "before", "after", (F.col("after") > F.col("before")).alias("raised")))
+    return reduce(DataFrame.unionAll, found)
+
+
+def run_steps(steps: list[tuple[str, object]]) -> list[tuple[str, bool, str]]:
+    """(name, done, error) of steps (name, function without arguments) up to the first that fails; the rest isn't run."""
+    out: list[tuple[str, bool, str]] = []
+    for name, step in steps:
+        try:
+            step()
+        except Exception as error:  # the chain stops here and says why
+            return [*out, (name, False, f"{type(error).__name__}: {error}")]
+        out.append((name, True, ""))
+    return out
+
+
 def flat(rows: DataFrame) -> DataFrame:
     """Evaluated rows with the metrics of RATES and MEANS as columns."""
     own = {"exact": "e2e.exact", "deliverable": "e2e.deliverable", "admin_all": "e2e.admin_all", "tail_all": "e2e.tail_all", "lexicon_hit": "b.lexicon_hit", "number_ok": "b.number_ok", "tail_exact": "b.tail_exact", "illegal_number_caught": "b.illegal_number_caught", "backfill": "f.backfill", "wrong_city": "f.wrong_city", "backfill_told": "f.told", "geo_recall": "e2e.geo_recall", "filler_leak": "b.filler_leak", "cer": "e2e.cer"}

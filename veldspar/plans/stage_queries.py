@@ -300,8 +300,19 @@ def _spell(c, n):
 
 def spoken(spark, sf):
     """(places, documents, readings, costs): provinces of regions, cities of nations, roads of suppliers; each customer says a supplier's road in full."""
+    return spoken_of(spark, *(table(spark, sf, t) for t in ("region", "nation", "supplier", "customer")))
+
+
+def spoken_sized(spark, roads: int, texts: int):
+    """The same with so many roads and texts, for benches."""
+    r = spark.range(5).select(F.col("id").alias("r_regionkey"))
+    n = spark.range(25).select(F.col("id").alias("n_nationkey"), (F.col("id") % 5).alias("n_regionkey"))
+    s = spark.range(1, roads + 1).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).alias("s_nationkey"))
+    return spoken_of(spark, r, n, s, spark.range(1, texts + 1).select(F.col("id").alias("c_custkey")).repartition(spark.sparkContext.defaultParallelism))
+
+
+def spoken_of(spark, r, n, s, customers):
     place = lambda df, code, name, level, parent: df.select(code.alias("adcode"), name.alias("name"), F.lit(level).alias("level"), parent.alias("parent"))
-    r, n, s = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
     up = lambda k, c: F.concat(F.lit(k), c)
     places = (
         place(r, up("r", F.col("r_regionkey")), F.concat(F.lit("江"), _spell(F.col("r_regionkey"), 1), F.lit("省")), "province", F.lit(None).cast("string"))
@@ -309,7 +320,7 @@ def spoken(spark, sf):
         .unionAll(place(s, up("s", F.col("s_suppkey")), F.concat(_spell(F.col("s_suppkey"), 5), F.lit("路")), "road", up("n", F.col("s_nationkey"))))
         .withColumns({"aliases": F.array().cast("array<string>"), "prior": F.lit(0.5), "ord": F.xxhash64("adcode")})
     )
-    said = table(spark, sf, "customer").select("c_custkey").crossJoin(F.broadcast(s.agg(F.count("*").alias("n"), F.min("s_suppkey").alias("lo"))))
+    said = customers.select("c_custkey").crossJoin(F.broadcast(s.agg(F.count("*").alias("n"), F.min("s_suppkey").alias("lo"))))
     said = said.withColumn("s_suppkey", F.col("lo") + F.col("c_custkey") % F.col("n")).join(s, "s_suppkey").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     number = F.translate((F.col("c_custkey") % 9 + 1).cast("string"), "123456789", "一二三四五六七八九")
     docs = said.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("我家住在江"), _spell(F.col("n_regionkey"), 1), F.lit("省平"), _spell(F.col("n_nationkey"), 2), F.lit("市"), _spell(F.col("s_suppkey"), 5), F.lit("路"), number, F.lit("号")).alias("text"))

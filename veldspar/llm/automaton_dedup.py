@@ -120,7 +120,7 @@ def match(segments: list[tuple[list[bytes], int]], length: int) -> list[np.ndarr
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = got
         return got
@@ -134,13 +134,17 @@ def _split(text: bytes) -> tuple[np.ndarray, list[bytes]]:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)), words
 
 
+def _count(text: bytes) -> int:
+    return len(text.split())
+
+
 def _join(words: list[bytes]) -> bytes:
     return b" ".join(words)
 
 
 def shape_of(length: int = LENGTH) -> Shape:
     gram = 1 << max(0, (max(1, length // 4)).bit_length() - 1)
-    return Shape(length=length, gram=min(8, gram), blocks=(4, 1), most=512, split=_split, join=_join, cut=bytes.split)
+    return Shape(length=length, gram=min(8, gram), blocks=(4, 1), most=512, split=_split, count=_count, join=_join, cut=bytes.split)
 
 
 def _result(doc_ids: list, raw: list[bytes], masks: list, texts: bool) -> pa.RecordBatch:

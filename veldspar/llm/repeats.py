@@ -31,13 +31,14 @@ UNIT = "key long, dg binary, off int, seg binary"
 
 @dataclass(frozen=True)
 class Shape:
-    """What counts as a repeat. split gives a text's symbols as (hashes, list or bytes of symbols); join packs a slice of them, width counts a packed slice's symbols and cut takes a sub-slice of it."""
+    """What counts as a repeat. split gives a text's symbols as (hashes, list or bytes of symbols), count how many they are; join packs a slice of them and cut takes a packed slice apart again."""
 
     length: int
     gram: int
     blocks: tuple[int, ...]
     most: int
     split: Callable[[bytes], tuple[np.ndarray, object]]
+    count: Callable[[bytes], int]
     join: Callable[[object], bytes]
     cut: Callable[[bytes], object]
 
@@ -118,7 +119,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     """Rows with their text compressed, for the shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         for batch in pieces(batches, "text"):
             z = pa.array([press.compress(x.as_buffer()) for x in batch["text"]], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["d"], batch["t"], z], names=["doc_id", "d", "t", "z"])
@@ -284,7 +285,7 @@ def repeated(docs: DataFrame, shape: Shape, matcher: Callable, apply: Callable,
                 if spans is None:
                     masks.append(None)
                     continue
-                steps = np.zeros(len(shape.split(text)[0]) + 1, np.int32)
+                steps = np.zeros(shape.count(text) + 1, np.int32)
                 for span in spans:
                     for part in span["parts"]:
                         edge = np.frombuffer(part["runs"], np.int32).astype(np.int64) + (span["a"] + part["at"])

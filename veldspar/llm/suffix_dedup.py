@@ -99,7 +99,7 @@ def _same(x: bytes) -> bytes:
 
 def shape_of(length: int = LENGTH) -> Shape:
     gram = 1 << max(0, (max(1, length // 5)).bit_length() - 1)
-    return Shape(length=length, gram=min(64, gram), blocks=(16, 1), most=512, split=_split, join=_same, cut=_same)
+    return Shape(length=length, gram=min(64, gram), blocks=(16, 1), most=512, split=_split, count=len, join=_same, cut=_same)
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:

@@ -336,3 +336,71 @@ def texts_assembled(spark, sf):
     chains = resolve.resolve_chains(docs, places, readings, costs)
     out = assemble.assembled(chains, phonetics.all_readings(readings), costs)
     return out.select("doc_id", "address", F.col("fields")["road"].alias("road"), F.col("fields")["unverified"].alias("unverified"))
+
+
+@query("""WITH c AS (SELECT 110000 + 10000 * n_regionkey AS p, n_nationkey % 25 + 1 AS k FROM nation), rows AS (SELECT DISTINCT p AS code FROM c UNION SELECT p + 100 * k FROM c WHERE k % 3 > 0 UNION SELECT p + 100 * k + 7 FROM c)
+SELECT code::VARCHAR AS adcode, CASE WHEN code % 10000 = 0 THEN 'province' WHEN code % 100 = 0 THEN 'city' ELSE 'district' END AS level, CASE WHEN code % 10000 = 0 THEN NULL WHEN code % 100 = 0 OR (code // 100 % 100) % 3 = 0 THEN (code // 10000 * 10000)::VARCHAR ELSE (code // 100 * 100)::VARCHAR END AS parent FROM rows""")
+def national_levels(spark, sf):
+    c = table(spark, sf, "nation").select((110000 + 10000 * F.col("n_regionkey")).alias("p"), (F.col("n_nationkey") % 25 + 1).alias("k"))
+    codes = c.select("p").union(c.where("k % 3 > 0").selectExpr("p + 100 * k")).union(c.selectExpr("p + 100 * k + 7")).distinct()
+    rows = codes.select(F.col("p").cast("string").alias("adcode"), F.concat(F.lit("x"), "p").alias("name"), F.lit(0.0).alias("longitude"), F.lit(0.0).alias("latitude"))
+    generic = rows.limit(0).union(spark.createDataFrame([("990100", "市辖区", 0.0, 0.0)], rows.schema))
+    return gz.national_codes(rows.union(generic)).select("adcode", "level", "parent")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_name END AS language, CASE c_custkey % 3 WHEN 2 THEN c_name ELSE c_name || ' says ' || c_custkey END AS text FROM customer""")
+def replies_parsed(spark, sf):
+    k, said = F.col("c_custkey") % 3, F.concat("c_name", F.lit(" says "), F.col("c_custkey").cast("string"))
+    raw = F.when(k == 0, F.concat(F.lit("language "), "c_mktsegment", F.lit("<asr_text>"), said)).when(k == 1, F.concat(F.lit("Language: "), "c_name", F.lit("\nText: "), said)).otherwise(F.concat(F.lit("  "), "c_name"))
+    return table(spark, sf, "customer").select("c_custkey", text.parse_reply(raw).alias("x")).select("c_custkey", "x.language", "x.text")
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY o_custkey), p AS (SELECT *, a + b AS m, least(a, b) AS k FROM c)
+SELECT o_custkey, a AS b01, b AS b10, round(CASE WHEN m = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: factorial(m::INT)::DOUBLE / factorial(i::INT)::DOUBLE / factorial((m - i)::INT)::DOUBLE)) / pow(2.0, m)) END, 6) AS p FROM p""")
+def mcnemar_counts(spark, sf):
+    from ..functions import stats
+
+    c = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("b01"), F.count_if(F.col("o_orderstatus") == "O").alias("b10"))
+    return c.select("o_custkey", "b01", "b10", F.round(stats.mcnemar(F.col("b01"), F.col("b10")), 6).alias("p"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey AS s, l_returnflag AS rf, l_linestatus AS ls FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN p % 41 = 0 THEN 'skip' WHEN p % 3 = 0 THEN CASE WHEN s % 4 = 0 THEN 'gate_over_reject' END WHEN p % 5 = 0 THEN 'db_missing' WHEN p % 7 = 0 THEN 'asr_unrecoverable'
+ WHEN p % 11 = 0 AND (rf <> 'R' OR s % 3 > 0) AND (ls <> 'O' OR s % 5 > 0) AND s % 4 IN (1, 3) THEN 'normalize_error' WHEN rf = 'R' AND s % 3 = 0 THEN 'recall_miss' WHEN ls = 'O' AND s % 5 = 0 THEN 'rank_error' WHEN s % 4 = 2 THEN 'gate_over_accept' WHEN s % 4 = 0 THEN 'gate_over_reject' WHEN p % 13 = 0 THEN 'completion_error' ELSE 'assembly_error' END AS label FROM f""")
+def failures_attributed(spark, sf):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    q = F.when(s % 4 == 2, "FA").when(s % 4 == 0, "FR").when(s % 4 == 1, "TP").otherwise("TR")
+    flags = {
+        "quality": F.when(p % 41 == 0, "silent").otherwise("ok"), "exact": p % 3 == 0, "quadrant": q, "decision": F.lit("confident"), "name_lost": p % 5 == 0, "name_missing": p % 5 == 0, "gold_in_db": F.lit(True), "admin_all": F.lit(True),
+        "phon_dist": F.when(p % 7 == 0, 0.5), "b_ok": p % 11 != 0, "c_evaluable": F.col("l_returnflag") == "R", "c_ok": s % 3 > 0, "recall_all": s % 3 > 0, "d_evaluable": F.col("l_linestatus") == "O", "d_ok": s % 5 > 0, "top1": s % 5 > 0,
+        "quadrant_geo": q, "f_evaluable": F.lit(True), "backfill": p % 13 != 0,
+    }
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ev.attribute(flags).alias("label"))
+
+
+@query("""WITH n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '四川话' WHEN 1 THEN '香港' WHEN 2 THEN 'Hunan' ELSE c_name END AS said FROM customer) SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'mandarin_xinan' WHEN 1 THEN 'mandarin_yue' ELSE 'mandarin' END AS space, CASE c_custkey % 4 WHEN 0 THEN '官话系' WHEN 1 THEN '非官话·有库' WHEN 2 THEN '非官话·无库' ELSE '未知' END AS family FROM n""")
+def dialects_routed(spark, sf):
+    names, spaces = phonetics.routes(spark, available=("mandarin", "mandarin_xinan", "mandarin_yue"))
+    k = F.col("c_custkey") % 4
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(k == 0, "四川话").when(k == 1, "香港").when(k == 2, "Hunan").otherwise(F.col("c_name")).alias("said"))
+    return phonetics.route(rows, "said", names, spaces).select("c_custkey", "space", "family")
+
+
+@query("""WITH h AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, min(l_partkey) % 9 AS s, min(l_partkey) % 9 + 2 + min(l_suppkey) % 3 AS e FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
+t AS (SELECT a.doc_id, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, c.s AS s3, c.e AS e3 FROM h a LEFT JOIN h b ON b.doc_id = a.doc_id AND b.k = 2 LEFT JOIN h c ON c.doc_id = a.doc_id AND c.k = 3 WHERE a.k = 1),
+u AS (SELECT *, s2 IS NOT NULL AND NOT (s2 < e1 AND s1 < e2) AS two FROM t)
+SELECT doc_id, '1' || CASE WHEN two THEN ',2' ELSE '' END || CASE WHEN s3 IS NOT NULL AND NOT (s3 < e1 AND s1 < e3) AND NOT (two AND s3 < e2 AND s2 < e3) THEN ',3' ELSE '' END AS chain FROM u""")
+def ancestors_attached(spark, sf):
+    from ..operators import ranking as rk
+
+    li = table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    level = F.when(F.col("l_linenumber") == 1, "road").when(F.col("l_linenumber") == 2, "district").otherwise("province")
+    h = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("adcode"), level.alias("level"), (F.col("l_partkey") % 9).alias("s"), (F.col("l_partkey") % 9 + 2 + F.col("l_suppkey") % 3).alias("e"), F.lit(0.0).alias("dist"), F.lit(0.5).alias("prior"))
+    nodes = spark.createDataFrame([("3", None), ("2", "3"), ("1", "2")], "adcode string, parent string")
+    return rk.ancestor_chains(h, gz.closure(nodes, 4)).where("adcode = '1'").select("doc_id", F.array_join(F.transform("evidence", lambda x: x["adcode"]), ",").alias("chain"))
+
+
+@query("SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z ]', '', 'g') AS syllables FROM nation")
+def syllables_toneless(spark, sf):
+    marked = F.concat_ws("3 ", F.split(F.translate(F.lower("n_name"), "aeiou", "āéǐòū"), " "))
+    return table(spark, sf, "nation").select("n_nationkey", F.array_join(phonetics.toneless(marked), " ").alias("syllables"))

@@ -97,10 +97,10 @@ def _names(spark, sf):
 
 
 @query("""WITH n AS (SELECT l_orderkey AS id, l_linenumber AS w, l_discount AS c, l_tax AS p, l_discount / 2 AS d FROM lineitem), s AS (SELECT id, sum(c * w) / sum(w) AS c, sum(p * w) / sum(w) AS p, sum(d * w) / sum(w) AS d, max(d) AS m FROM n GROUP BY id)
-SELECT id, round(c, 6) AS cer_name_char, round(p, 6) AS cer_name_phon, round(d, 6) AS cer_name_phon_w, m AS name_phon_dist_max, CASE WHEN c > 0 THEN round((c - p) / c, 6) END AS recoverable_share, CASE WHEN c > 0 THEN round((c - d) / c, 6) END AS recoverable_share_w FROM s""")
+SELECT id, round(c, 9) AS cer_name_char, round(p, 9) AS cer_name_phon, round(d, 9) AS cer_name_phon_w, m AS name_phon_dist_max, CASE WHEN c > 0 THEN round((c - p) / c, 9) END AS recoverable_share, CASE WHEN c > 0 THEN round((c - d) / c, 9) END AS recoverable_share_w FROM s""")
 def name_metrics(spark, sf):
     a = stages.stage_a(_names(spark, sf))
-    return a.withColumns({c: F.round(c, 6) for c in ("cer_name_char", "cer_name_phon", "cer_name_phon_w", "recoverable_share", "recoverable_share_w")})
+    return a.withColumns({c: F.round(c, 9) for c in ("cer_name_char", "cer_name_phon", "cer_name_phon_w", "recoverable_share", "recoverable_share_w")})
 
 
 @query("""SELECT id, field, dist_phon_w, cer_char, name FROM (SELECT l_orderkey AS id, l_linenumber % 3 AS field, repeat('x', l_linenumber::INT) AS name, l_discount AS cer_char, l_discount / 2 AS dist_phon_w, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_discount / 2, l_discount, repeat('x', l_linenumber::INT)) AS r FROM lineitem) WHERE r = 1""")
@@ -356,12 +356,12 @@ def replies_parsed(spark, sf):
 
 
 @query("""WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY o_custkey), p AS (SELECT *, a + b AS m, least(a, b) AS k FROM c)
-SELECT o_custkey, a AS b01, b AS b10, round(CASE WHEN m = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: factorial(m::INT)::DOUBLE / factorial(i::INT)::DOUBLE / factorial((m - i)::INT)::DOUBLE)) / pow(2.0, m)) END, 6) AS p FROM p""")
+SELECT o_custkey, a AS b01, b AS b10, round(CASE WHEN m = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: factorial(m::INT)::DOUBLE / factorial(i::INT)::DOUBLE / factorial((m - i)::INT)::DOUBLE)) / pow(2.0, m)) END, 9) AS p FROM p""")
 def mcnemar_counts(spark, sf):
     from ..functions import stats
 
     c = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("b01"), F.count_if(F.col("o_orderstatus") == "O").alias("b10"))
-    return c.select("o_custkey", "b01", "b10", F.round(stats.mcnemar(F.col("b01"), F.col("b10")), 6).alias("p"))
+    return c.select("o_custkey", "b01", "b10", F.round(stats.mcnemar(F.col("b01"), F.col("b10")), 9).alias("p"))
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey AS s, l_returnflag AS rf, l_linestatus AS ls FROM lineitem)

@@ -89,3 +89,24 @@ def test_perturbations_are_replayable_and_steady(spark):
     assert {(r.variant, r.rule) for r in got} == {("兰山路", "initial-n-l"), ("蓝山路", "initial-n-l"), ("南三路", "initial-sh-s")}
     assert sorted(got) == sorted(search.perturbations(names, readings, costs, 10).collect())
     assert search.replayable(spark.createDataFrame(got), names).count() == 0
+
+
+def test_a_proposal_is_judged_on_held_out_items(spark):
+    df = features(spark)
+    items = df.select("id").distinct().select("id", F.when(F.col("id") % 2 == 0, "train").otherwise("eval").alias("split"), F.lit("x").alias("side"), F.lit(None).cast("string").alias("negative_type"), F.lit(True).alias("has_address"))
+    hand = {**PARAMS, "W_SIM": 0.1, "W_COV": 0.1, "W_PRIOR": 0.7, "W_DEPTH": 0.1}
+    bounds = {"W_COV": (0.0, 1.0), "W_PRIOR": (0.0, 1.0)}
+    got = search.propose(df, items, hand, bounds, ("side",), True, {"W_PRIOR": [0.0, 0.7], "W_COV": [0.1, 0.5]}, restarts=2, sweeps=2)
+    assert got["best_J"] == 0 < got["J"]["hand"] and got["verdict"] == "REPORT_ONLY" and all(got["constraints"].values()) and got["deltas"][0]["n"] == 40
+    assert "Verdict: REPORT_ONLY" in search.proposal_text(got) and "| side=x | 40 |" in search.proposal_text(got)
+
+
+def test_only_the_cache_may_be_read(spark):
+    import pytest
+
+    from veldspar.operators import quality
+
+    cache = spark.createDataFrame([("a", "text")], "key string, transcript string")
+    assert quality.require_cached(spark.createDataFrame([("a",)], "key string"), cache).count() == 1
+    with pytest.raises(LookupError):
+        quality.require_cached(spark.createDataFrame([("a",), ("b",)], "key string"), cache)

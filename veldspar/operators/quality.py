@@ -48,6 +48,15 @@ def cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]
     return requests.join(cache, "key"), requests.join(cache, "key", "left_anti")
 
 
+def require_cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """requests with their cached transcript; one without is an error, as when only the cache may be read."""
+    hits, misses = cached(requests, cache)
+    first = misses.select("key").head()
+    if first is not None:
+        raise LookupError(f"not in the cache: {first.key}")
+    return hits
+
+
 def scored_rows(rows: DataFrame) -> DataFrame:
     """Rows of good quality, with whether they are scored: a confirmed or draft label, and a gold value or nothing to find."""
     has = F.col("gold").isNotNull() | ~F.coalesce("has_address", F.lit(True))

@@ -222,6 +222,31 @@ def verdict(met: dict[str, bool], confirmed: bool | None = None, regression_ok:
     return "APPLICABLE" if met["sample_gate"] and confirmed and regression_ok else "REPORT_ONLY"
 
 
+def propose(features: DataFrame, items: DataFrame, hand: dict[str, float], bounds: dict[str, tuple[float, float]], axes: tuple[str, ...], enough: bool, grid: dict[str, list[float]] | None = None, **options) -> dict:
+    """A proposal: what a search over the train split finds, held against the hand-set point on the eval split. items: id, split and axes.
+
+    best, J before and after, changed parameters, metrics of both points on both splits, slice deltas, constraints and verdict.
+    """
+    part = lambda split: (selected(features, items, split=split), items.where(F.col("split") == split))
+    (train, train_items), (held, held_items) = part("train"), part("eval")
+    grid = search_grid(bounds) if grid is None else grid
+    found = search(train, hand, bounds, grid, **options)
+    point = {**hand, **found["best"]}
+    both = as_candidates(features.sparkSession, [hand, point])
+    told = {name: {r.candidate: r.asDict() for r in metrics(f, both, options.get("costs"), items=i, hand=hand).drop("params").collect()} for name, f, i in (("train", train, train_items), ("eval", held, held_items))}
+    deltas = slice_deltas(held, held_items, hand, point, axes)
+    met = constraints(told["eval"][0], told["eval"][1], deltas, enough) if told["eval"] else {"sample_gate": False}
+    return {**found, "params": point, "J": {"hand": told["train"].get(0, {}).get("J"), "proposed": found["best_J"]}, "changed": {k: (hand[k], point[k]) for k in REPLAYABLE if abs(hand[k] - point[k]) > 1e-9}, "metrics": told, "deltas": [r.asDict() for r in deltas.orderBy("axis", "value").collect()], "constraints": met, "verdict": verdict(met)}
+
+
+def proposal_text(p: dict) -> str:
+    """A proposal for people, as Markdown."""
+    lines = ["# Proposal", "", f"Verdict: {p['verdict']}; J {p['J']['hand']} to {p['J']['proposed']}", "", "| parameter | hand | proposed |", "|---|---|---|"]
+    lines += [f"| {k} | {a:.4f} | {b:.4f} |" for k, (a, b) in p["changed"].items()] + ["", "| constraint | met |", "|---|---|"]
+    lines += [f"| {k} | {'yes' if ok else 'no'} |" for k, ok in p["constraints"].items()] + ["", "| slice | n | delta TP | delta FA |", "|---|---|---|---|"]
+    return "\n".join([*lines, *[f"| {d['axis']}={d['value']} | {d['n']} | {d['delta_tp']} | {d['delta_fa']} |" for d in p["deltas"]]]) + "\n"
+
+
 def divergence(real: DataFrame, replayed: DataFrame) -> DataFrame:
     """source, n, diverged: items whose quadrant in a real run (source, id, q) differs from the replayed one (id 'source:id', q)."""
     keyed = real.select("source", F.concat_ws(":", "source", F.col("id").cast("string")).alias("id"), F.col("q").alias("_real"))

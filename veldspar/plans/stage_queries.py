@@ -404,3 +404,51 @@ def ancestors_attached(spark, sf):
 def syllables_toneless(spark, sf):
     marked = F.concat_ws("3 ", F.split(F.translate(F.lower("n_name"), "aeiou", "āéǐòū"), " "))
     return table(spark, sf, "nation").select("n_nationkey", F.array_join(phonetics.toneless(marked), " ").alias("syllables"))
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, CASE WHEN n < 20 THEN k || '/' || n ELSE 'many' END AS rate, CASE WHEN n > 0 THEN round(3.0 / n, 9) END AS upper FROM c""")
+def rates_told(spark, sf):
+    from ..functions import stats
+
+    c = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))
+    told = stats.rate_text(F.col("k"), F.col("n"))
+    return c.select("o_custkey", F.when(F.col("n") < 20, told).otherwise(F.when(told.rlike(r"^[0-9.]+% \[[0-9.]+%, [0-9.]+%\]$"), "many")).alias("rate"), F.round(stats.rule_of_three(F.col("n")), 9).alias("upper"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_returnflag = 'R' THEN 0.9 ELSE 0.5 END * l_discount + CASE WHEN l_returnflag = 'A' THEN 0.0 ELSE 0.2 END * l_tax + 0.15 * l_quantity / 50 + 0.15 * l_linenumber / 7 - 0.25 * l_tax, 9) AS total FROM lineitem""")
+def chain_totals(spark, sf):
+    from ..operators import ranking as rk
+
+    own = F.when(F.col("l_returnflag") == "R", F.create_map(F.lit("W_SIM"), F.lit(0.9))).when(F.col("l_returnflag") == "A", F.create_map(F.lit("W_COV"), F.lit(0.0))).otherwise(F.create_map().cast("map<string,double>"))
+    li = table(spark, sf, "lineitem").withColumn("params", own)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(rk.total(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50, F.col("l_linenumber") / 7, F.col("l_tax")), 9).alias("total"))
+
+
+@query("""WITH f AS (SELECT *, l_partkey % 12 AS s, l_partkey % 12 + 2 AS e, l_discount * 2 AS dist, l_returnflag = 'R' AS weak, l_suppkey % 3 AS lv FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN dist <= 0.15 AND NOT weak AND l_linestatus = 'O' AND s < 10 AND (s < 5 OR lv >= 1) AND NOT (s < 5 AND 3 < e) AND NOT (s < 10 AND 8 < e) THEN (1 - dist) * CASE lv WHEN 0 THEN 0.6 WHEN 1 THEN 0.8 ELSE 1.0 END / 1.2 ELSE 0 END, 9) AS conflict FROM f""")
+def conflict_terms(spark, sf):
+    from ..operators import ranking as rk
+
+    li = table(spark, sf, "lineitem")
+    hit = lambda code, level, order, s, e: F.struct(F.lit(code).alias("adcode"), F.lit(level).alias("level"), F.lit(order).alias("level_ord"), F.lit(s).alias("s"), F.lit(e).alias("e"))
+    lv = (F.col("l_suppkey") % 3).cast("int")
+    other = F.struct(F.lit("x").alias("adcode"), (F.col("l_discount") * 2).alias("dist"), (F.col("l_returnflag") == "R").alias("weak"), F.element_at(F.array(*map(F.lit, gz.LEVELS)), lv + 1).alias("level"), lv.alias("level_ord"), (F.col("l_partkey") % 12).cast("int").alias("s"), (F.col("l_partkey") % 12 + 2).cast("int").alias("e"), (F.col("l_linestatus") == "O").alias("on_chain"))
+    evidence = F.array(hit("c", "city", 1, 3, 5), hit("r", "road", 4, 8, 10))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(rk.conflict(evidence, F.array(F.lit("c"), F.lit("r")), F.array(other)), 9).alias("conflict"))
+
+
+@query("""SELECT o_orderkey, coalesce(CASE o_orderpriority WHEN '1-URGENT' THEN true WHEN '2-HIGH' THEN true ELSE false END AND (o_custkey % 2 = 0 OR o_orderstatus = 'O'), false) AS scored FROM orders WHERE o_orderstatus <> 'P'""")
+def scored_orders(spark, sf):
+    from ..operators import quality as qu
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", "ok").otherwise("silent").alias("quality"), F.when(F.col("o_orderpriority") == "1-URGENT", "draft").when(F.col("o_orderpriority") == "2-HIGH", "confirmed").otherwise("pending").alias("label_status"), F.when(F.col("o_custkey") % 2 == 0, "x").alias("gold"), (F.col("o_orderstatus") != "O").alias("has_address"))
+    return qu.scored_rows(o).select("o_orderkey", "scored")
+
+
+@query("""WITH t AS (SELECT c_custkey, c_custkey % 3 AS a, c_custkey % 2 AS b FROM customer) SELECT c_custkey, CASE WHEN a = 0 AND b = 0 THEN 0.0 WHEN a = 0 OR b = 0 THEN 1.0 WHEN a = 1 THEN 0.045 ELSE 0.5225 END AS distance FROM t""")
+def reading_distances(spark, sf):
+    d = phonetics.weighted_distance(phonetics.confusion_costs(phonetics.confusion_rules(spark).where("space = 'mandarin'")))
+    syl = lambda c: F.transform(F.filter(F.split(c, " "), lambda x: x != ""), phonetics.split_syllable)
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select("c_custkey", syl(F.when(k % 3 == 0, "").when(k % 3 == 1, "niu").otherwise("niu wo")).alias("a"), syl(F.when(k % 2 == 0, "").otherwise("liu")).alias("b"))
+    return rows.select("c_custkey", F.round(phonetics.reading_distance(F.col("a"), F.col("b"), d), 9).alias("distance"))

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, text_of
+from .common import pieces, relieved, text_of
 
 #: The byte-level pre-split pattern of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -340,7 +340,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", input_ids array<int>, decoded string" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(relieved(run), schema)
 
 
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -88,6 +90,21 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2_000_00
         yield batch.slice(start)
 
 
+def relieved(function: Callable) -> Callable:
+    """function over Arrow batches, after which a worker gives memory that it has freed back to the system; workers live on from task to task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 

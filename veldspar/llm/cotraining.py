@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import pieces, relieved, written
 
 SAMPLE = 12_000
 PSEUDO = 400  # documents that a view labels in a round at most
@@ -301,7 +301,7 @@ def _features(docs: DataFrame, known: tuple[np.ndarray, np.ndarray] | None = Non
             packed = [[x.tobytes() for x in y] for y in (keys[0], text.dense.astype(np.float32), keys[1], meta.dense.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], *(pa.array(x, pa.binary()) for x in packed)], names=_COLUMNS)
 
-    return docs.withColumn("h", F.xxhash64("text", "source", "lang", "n_chars")).mapInArrow(run, FEATURES)
+    return docs.withColumn("h", F.xxhash64("text", "source", "lang", "n_chars")).mapInArrow(relieved(run), FEATURES)
 
 
 def _unpacked(columns: list[list], known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Rows, Rows]:
@@ -351,7 +351,7 @@ def _exchange(table: DataFrame, marked: DataFrame, heads: dict[int, Training], k
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), s, np.int32)), pa.array(rows["off"].copy()), pa.array(rows["doc_id"].copy(), mask=rows["null"] > 0), pa.array(rows["h"].copy())], names=["slot", "off", "doc_id", "h"])
 
-    sure = table.mapInArrow(run, "slot int, off double, doc_id long, h long")
+    sure = table.mapInArrow(relieved(run), "slot int, off double, doc_id long, h long")
     surest = written(sure.join(marked.select("doc_id"), "doc_id", "left_anti"), "surest")
     picked: dict[tuple, list[int]] = {}
     for s, (_, _, _, most) in enumerate(slots):
@@ -415,7 +415,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch in pieces(batches, "text"):
             yield _judged(batch["doc_id"], views_of(batch, told.value[1]), told.value[0], threshold)
 
-    return _seen(docs).mapInArrow(run, SCORES)
+    return _seen(docs).mapInArrow(relieved(run), SCORES)
 
 
 def score_features(features: DataFrame, known: tuple[np.ndarray, np.ndarray], model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -426,7 +426,7 @@ def score_features(features: DataFrame, known: tuple[np.ndarray, np.ndarray], mo
         for batch in batches:
             yield _judged(batch["doc_id"], _unpacked([batch[c].to_pylist() for c in "abcd"], told.value[1]), told.value[0], threshold)
 
-    return features.mapInArrow(run, SCORES)
+    return features.mapInArrow(relieved(run), SCORES)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -441,7 +441,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             kept = told.value[0].scores(*views_of(pa.RecordBatch.from_pydict(seen), told.value[1]))[2] >= threshold
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(relieved(run), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

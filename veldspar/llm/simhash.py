@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, pieces, text_of, written
+from .common import components, pieces, relieved, text_of, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch["text"]], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(relieved(run), "doc_id long, fp long")
 
 
 def _cell(counts: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def _by_set(rows: DataFrame, function, schema: str) -> DataFrame:
         for batch in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch["row"], *function([shingle_set(t.as_buffer().to_pybytes()) for t in batch["text"]])], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(relieved(run), schema)
 
 
 def _sketched(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -352,9 +352,9 @@ def similar_rows(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
 
     sketches = _sketches(rows)
-    some = written(_met(written(sketches, "sketches"), F.lit(1), TILE_ROWS).mapInArrow(involved, "row long").distinct(), "involved")
+    some = written(_met(written(sketches, "sketches"), F.lit(1), TILE_ROWS).mapInArrow(relieved(involved), "row long").distinct(), "involved")
     sets = written(_with_sets(rows.join(some, "row", "left_semi")), "sets")
-    return components(written(_met(sets, 8 * F.col("n") + 100, TILE_BYTES).mapInArrow(linked, "a long, b long"), "near"))
+    return components(written(_met(sets, 8 * F.col("n") + 100, TILE_BYTES).mapInArrow(relieved(linked), "a long, b long"), "near"))
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:

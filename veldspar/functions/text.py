@@ -261,7 +261,7 @@ def parse_reply(raw: Column) -> Column:
 
 
 def substitutions(text: Column, rules: Iterable[Rule] = LEXICON, variants: dict[str, str] | None = None) -> Column:
-    """The log of rewrite(): array of (src, dst, pos, category, n) in the order of application; pos is the first place in the text as rewritten so far, n how often the word stood there."""
+    """The log of rewrite(): array of (src, dst, pos, category, n) in the order of application; pos is the first place in the text as rewritten so far, n how often the word stood there. Null text has none."""
     ordered = [(r[0], r[1], r[3]) for r in sorted(rules, key=lambda r: -len(r[0]))] + [(a, b, "variant") for a, b in (VARIANTS if variants is None else variants).items()]
     steps = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.lit(c).alias("category")) for a, b, c in ordered])
 

@@ -235,3 +235,27 @@ def test_later_turns_are_rendered_in_linear_time(monkeypatch):
 def test_a_role_with_the_mark(spark):
     out, found, _ = chat_format.spans([("\ue000\ue001", "text")])
     assert out[found[0][1] : found[0][2]] == "text"
+
+
+def test_rewriting_shows_at_any_length(spark):
+    blinking = lambda ts: ("(300 turns) " if len(ts) == 300 else "") + chat_format.marked_turns(ts)
+    turns = [("assistant" if k % 2 else "user", f"text {k}") for k in range(600)]
+    for n in (299, 300, 301, 400, 512, 600):
+        out, _, rewritten = chat_format.spans(turns[:n], blinking)
+        assert rewritten == (n >= 300) and out == blinking(turns[:n])
+    rows = [(n, k, *turn) for n in (299, 400) for k, turn in enumerate(turns[:n])]
+    got = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), blinking).collect()
+    assert sorted((r.conv_id, r.turn, r.rewritten) for r in got) == [(n, k, n == 400 and k >= 299) for n, k, *_ in rows]
+
+
+def test_kept_output_of_the_default_template():
+    r = random.Random(4)
+    plain = lambda ts: "".join(f"### {chat_format.escape(a)}: {chat_format.escape(b)}</turn>\n" for a, b in ts)
+    turns: list = []
+    for _ in range(3000):
+        turns = r.choice([turns, turns, turns[:-1], turns[1:], []]) + [(r.choice("ab#"), r.choice("xy:"))] * r.randint(0, 3)
+        assert chat_format.marked_turns(turns) == plain(turns)
+    turns = [["a", "x"], ["b", "y"], ["a", "z"]]
+    assert chat_format.marked_turns(turns) == plain(turns)
+    turns[0][1] = "changed"
+    assert chat_format.marked_turns(turns) == plain(turns)

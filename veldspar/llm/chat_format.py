@@ -5,11 +5,14 @@ turn prefixes are rendered and consecutive outputs compared. Where an output sta
 the new turn's span; where it doesn't, the template rewrites history and the conversation is reported so. Inside a
 span, the text's place is found by rendering the turn with a mark in place of its text.
 
-Of a conversation's first EXACT turns every prefix is rendered. Beyond, rendering every prefix would take the square of
-the length, so turns are rendered after the few turns before them, and the spans are held against the real output of
+Every prefix of every conversation is rendered, whatever its length, so no rewriting goes unseen. That takes the square
+of the length in characters; the default template at least keeps what it has escaped.
+
+Who has templates that only look a few turns back may set EXACT to bound that cost (nothing here does). Then, beyond
+that many turns, turns are rendered after the few turns before them, and the spans are held against the real output of
 the whole prefix at each doubling and at the end. If they differ anywhere, the template looks further back, and every
-prefix is rendered after all. So spans always make up the template's own output; what can go unseen beyond EXACT turns
-is history that is rewritten after one doubling and is back before the next.
+prefix is rendered after all. So spans still make up the template's own output, but history that is rewritten after one
+doubling and is back before the next goes unseen.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-EXACT = 256  # turns of which every prefix is rendered
-CONTEXT = 2  # turns before a later one that it is first rendered after
+EXACT: int | None = None  # turns of which every prefix is rendered; None: all
+CONTEXT = 2  # turns before one beyond EXACT that it is first rendered after
 #: The characters that open, close or escape the default template's control strings.
 CONTROL = re.compile(r"[\\#<:]")
 ESCAPED = re.compile(r"\\(.)", re.S)
@@ -39,9 +42,30 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+def _marked_turn(turn: Turn) -> str:
+    role, text = turn
+    return f"### {escape(role)}: {escape(text)}</turn>\n"
+
+
+_before: tuple[list[Turn], str] = ([], "")  # the turns before the last one that marked_turns was given, and their output
+
+
 def marked_turns(turns: list[Turn]) -> str:
-    """The default template: '### role: text</turn>' lines. Control characters inside roles and texts are escaped."""
-    return "".join(f"### {escape(role)}: {escape(text)}</turn>\n" for role, text in turns)
+    """The default template: '### role: text</turn>' lines. Control characters inside roles and texts are escaped.
+
+    The output of the turns before the last is kept, so successive prefixes escape each turn only once.
+    """
+    global _before
+    if not turns:
+        return ""
+    before, (known, output) = turns[:-1], _before
+    if before != known:
+        if before[:-1] == known:
+            known, output = [*known, tuple(before[-1])], output + _marked_turn(before[-1])
+        else:
+            known, output = [*map(tuple, before)], "".join(map(_marked_turn, before))
+        _before = known, output
+    return output + _marked_turn(turns[-1])
 
 
 #: One turn of the default template's output.
@@ -117,10 +141,11 @@ def _by_context(turns: list[Turn], first: int, output: str, template: Template,
 def rendered(turns: list[Turn], template: Template) -> tuple[str, list[Span]]:
     """What the template puts before any turn, and the span of each turn."""
     mark, head = mark_for(turns), template([])
-    found, output = _by_prefix(turns, 0, min(len(turns), EXACT), head, False, template, mark)
-    if len(turns) > EXACT:
-        rest = None if found[-1][3] else _by_context(turns, EXACT, output, template, mark)
-        found += _by_prefix(turns, EXACT, len(turns), output, found[-1][3], template, mark)[0] if rest is None else rest
+    exact = len(turns) if EXACT is None else min(len(turns), EXACT)
+    found, output = _by_prefix(turns, 0, exact, head, False, template, mark)
+    if len(turns) > exact:
+        rest = None if found[-1][3] else _by_context(turns, exact, output, template, mark)
+        found += _by_prefix(turns, exact, len(turns), output, found[-1][3], template, mark)[0] if rest is None else rest
     return head, found
 
 

@@ -290,17 +290,27 @@ def match_names(queries: DataFrame, names: DataFrame, distance: Callable[[Column
     """The topk entries for each query (query_id, syllables) by the distance to their nearest name: query_id, adcode, dist, rank. Ties go to the higher prior.
 
     The difference in length alone bounds the distance from below, so a query meets names of the lengths that can be near
-    enough: an equi join on the length, whatever the size of either side.
+    enough: an equi join on the length, whatever the size of either side. Entries with the same names are as far from any
+    query, so queries meet the names once, with the topk of those entries by prior and code; both steps are dealt to all tasks.
     """
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select("query_id", F.col("syllables").alias("_q")).where("size(_q) > 0")
-    n = names.select("adcode", "prior", F.col("syllables").alias("_n"), F.size("syllables").alias("_len")).where("_len > 0")
-    longest_name = n.agg(F.max("_len")).head()[0] or 0
+    n = names.select("adcode", "prior", F.col("syllables").alias("_n")).where("size(_n) > 0")
+    longest_name = n.agg(F.max(F.size("_n"))).head()[0] or 0
+    # an entry whose names have different priors shares its place with those of the same names and priors alone
+    own = n.repartition(tasks, "adcode").groupBy("adcode").agg(F.sort_array(F.collect_set(F.struct("_n", "prior"))).alias("_own"))
+    even = F.size(F.array_distinct(F.transform("_own", lambda x: x["prior"]))) == 1
+    own = own.select("adcode", F.when(even, F.col("_own")[0]["prior"]).alias("_lead"), F.when(even, F.transform("_own", lambda x: x.withField("prior", F.when(F.lit(False), x["prior"])))).otherwise(F.col("_own")).alias("_names"))
+    first = own.withColumn("_r", F.row_number().over(W.partitionBy("_names").orderBy(F.desc("_lead"), "adcode"))).where(F.col("_r") <= topk)
+    groups = first.groupBy("_names").agg(F.collect_list(F.struct("_lead", "adcode")).alias("_entries")).repartition(tasks, "_names")
+    each_name = groups.select("_names", "_entries", F.explode("_names").alias("_x")).select("_names", "_entries", F.col("_x._n").alias("_n"), F.col("_x.prior").alias("_p"), F.size("_x._n").alias("_len"))
     least = F.greatest(F.lit(1), F.ceil(F.size("_q") * (1 - most) - 1e-9).cast("int"))
     largest = F.least(F.lit(longest_name), F.floor(F.size("_q") / max(1 - most, 1e-9) + 1e-9).cast("int")) if most < 1 else F.lit(longest_name)
     lengths = q.select("query_id", "_q", F.explode(F.when(largest >= least, F.sequence(least, largest)).otherwise(F.array().cast("array<int>"))).alias("_len"))
-    pairs = lengths.join(n, "_len")
+    pairs = each_name.join(sized(lengths), "_len")
     near = pairs.withColumn("dist", distance(F.col("_q"), F.col("_n")) / F.greatest(F.size("_q"), F.size("_n"))).where(F.col("dist") <= most)
-    each = near.groupBy("query_id", "adcode").agg(F.min("dist").alias("dist"), F.max("prior").alias("prior"))
+    found = near.groupBy("query_id", "_names", "_entries").agg(F.min("dist").alias("dist"), F.max("_p").alias("_p"))
+    each = found.select("query_id", F.explode("_entries").alias("_x"), "dist", "_p").select("query_id", F.col("_x.adcode").alias("adcode"), "dist", F.coalesce("_p", "_x._lead").alias("prior"))
     w = W.partitionBy("query_id").orderBy("dist", F.desc("prior"), "adcode")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topk).drop("prior")
 
